@@ -34,29 +34,57 @@ def split_words(text: str) -> list[str]:
 
 
 class TokenIds:
-    """Token ids of whole texts, each distinct word tokenized once."""
+    """Token ids of whole texts. Each distinct word is worked out once, and what tokenizes alike is tokenized once:
+    ASCII words in lower case (so the vocabulary's normalizer has it), without one sign at the end of letters (a token
+    of its own)."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.signs = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,;:!?"}
         self.ids, self.at, self.n = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
-        self.words = WordTable(self._fill, self._empty)
+        self.core_ids, self.core_at, self.core_n = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        self.words = WordTable(self._fill, self._empty, limit)
+        self.cores = WordTable(self._tokenize, lambda: None, limit)
 
     def _empty(self) -> None:
-        for x in (self.ids, self.at, self.n):
+        self.cores.clear()
+        for x in (self.ids, self.at, self.n, self.core_ids, self.core_at, self.core_n):
             x.clear()
 
-    def _fill(self, words: list[str]) -> None:
+    def _tokenize(self, words: list[str]) -> None:
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             begins = np.cumsum([0, *(len(w) + 1 for w in some)])
             at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
             n = np.bincount(np.searchsorted(begins, at, side="right") - 1, minlength=len(some))[: len(some)]
-            self.at.extend(self.ids.n + np.cumsum(n) - n)
-            self.n.extend(n)
-            self.ids.extend(found.ids)
+            self.core_at.extend(self.core_ids.n + np.cumsum(n) - n)
+            self.core_n.extend(n)
+            self.core_ids.extend(found.ids)
+
+    def _fill(self, words: list[str]) -> None:
+        core, sign = np.empty(len(words), np.int64), np.full(len(words), -1, np.int64)
+        for i, w in enumerate(words):
+            if w.isascii() and "<|" not in w:  # special tokens are matched before the case is changed
+                w = w.lower()
+            if w[-1] in self.signs and w[:-1].isalpha():
+                w, sign[i] = w[:-1], self.signs[w[-1]]
+            core[i] = self.cores[w]
+        if self.cores.fresh:
+            self._tokenize(self.cores.fresh)
+            self.cores.fresh = []
+        own, more = self.core_n.a[core], sign >= 0
+        n = own + more
+        ends = np.cumsum(n)
+        ids = np.empty(int(ends[-1]), np.uint32)
+        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        ids[np.repeat(ends - n, own) + place] = self.core_ids.a[np.repeat(self.core_at.a[core], own) + place]
+        ids[(ends - 1)[more]] = sign[more]
+        self.at.extend(self.ids.n + ends - n)
+        self.n.extend(n)
+        self.ids.extend(ids)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's."""
