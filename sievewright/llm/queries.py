@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from .chat import ORACLE as CHAT_SQL
 from .chat import op10_chat_format
+from .decontaminate import op1_decontamination
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import op3_line_dedup
 from .media import op6_media_columns
 from .packing import op5_best_fit_packing
 from .quality import op2_quality_classifier
 from .simhash import op8_simhash_dedup
+from .substring_dedup import op7_suffix_array_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_media_columns": op6_media_columns,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
