@@ -13,13 +13,14 @@ size. Windows carry their own words to the verification, so texts are never shuf
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, slices, table, text_of
+from .shared import slices, table, text_of
 
 LEAST_WORDS, MOST_WINDOW = 5, 256
 BITMAP = 1 << 22
@@ -41,36 +42,67 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def normal(text: str) -> list[str]:
-    return text.lower().split()
+    """Lower-case words between ASCII white space."""
+    return [w.decode("utf-8", "surrogatepass") for w in text.lower().encode("utf-8", "surrogatepass").split()]
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    letters = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+    base, one = 0x5851F42D4C957F2D, np.ones(1, np.uint64)
+    up = np.cumprod(np.concatenate([one, np.full(n, base, np.uint64)]))
+    down = np.cumprod(np.concatenate([one, np.full(n, pow(base, -1, 1 << 64), np.uint64)]))
+    return letters, up, down
 
-    return np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts, and the words of each text: sums of letters times powers, taken for all words at
+    once as differences of one running sum."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    letters, up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * up[: len(data)])])
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    return _mix((run[end] - run[begin]) * down[begin]), np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(raw)).astype(np.int64)
 
 
 def pair_slots(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(BITMAP - 1)).astype(np.int64)
 
 
-def cgk_keys(hashes: np.ndarray, starts: np.ndarray, size: int, repeats: int, bits: int) -> np.ndarray:
-    """Keys (starts x repeats) of the windows of ``size`` words at ``starts``; behind the end stands symbol 0."""
-    padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
-    out = np.empty((len(starts), repeats), np.uint64)
+@lru_cache(maxsize=64)
+def _walk(size: int, repeats: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which outputs each walk samples (steps x repeats), and the random numbers that steer it."""
+    rng = np.random.default_rng([size, repeats, bits])
+    length = int(1.6 * size) + 1
+    sampled = np.zeros((length, repeats), bool)
     for r in range(repeats):
-        rng = np.random.default_rng([size, r])
-        steps = np.sort(rng.choice(int(1.6 * size) + 1, min(bits, int(1.6 * size) + 1), replace=False))
-        salt = rng.integers(1, 1 << 63, int(steps[-1]) + 1, dtype=np.uint64)
-        at = np.zeros(len(starts), np.int64)
-        key = np.full(len(starts), size * 1000003 + r, np.uint64)
-        for j in range(int(steps[-1]) + 1):
-            symbol = np.where(at < size, padded[starts + np.minimum(at, size - 1)], np.uint64(0))
-            if j in steps:
-                key = _mix(key * np.uint64(31) + symbol)
-            at += ((symbol ^ salt[j]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)).astype(np.int64)
-        out[:, r] = key
-    return out
+        sampled[rng.choice(length, min(bits, length), replace=False), r] = True
+    return sampled, rng.integers(1, 1 << 63, (length, repeats), dtype=np.uint64)
+
+
+def cgk_keys(windows: np.ndarray, size: int, repeats: int, bits: int) -> np.ndarray:
+    """Keys (windows x repeats) of windows of ``size`` symbols, 0 behind a text's end; all walks go in step."""
+    sampled, salt = _walk(size, repeats, bits)
+    windows = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
+    row = np.arange(len(windows))[:, None]
+    at = np.zeros((len(windows), repeats), np.int64)
+    key = np.tile(size * np.uint64(1000003) + np.arange(repeats, dtype=np.uint64), (len(windows), 1))
+    for j in range(len(sampled)):
+        symbol = windows[row, at]
+        if sampled[j].any():
+            key[:, sampled[j]] = _mix(key[:, sampled[j]] * np.uint64(31) + symbol[:, sampled[j]])
+        at += ((symbol ^ salt[j]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, size, out=at)
+    return key
+
+
+def windows_at(hashes: np.ndarray, starts: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    place = starts[:, None] + np.arange(size)
+    return np.where(place < end[:, None], hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
 
 
 def best_match(item: list[str], window: list[str]) -> tuple[int, int]:
@@ -97,10 +129,10 @@ def _items(items: DataFrame, id_col: str, text_col: str, similarity: float, repe
                 if len(words) < LEAST_WORDS:
                     continue
                 size = max(s for s in SIZES if s <= len(words))
-                h = word_hashes(words)
+                h, _ = word_hashes([text])
                 rows += [(i, size, len(words), 0, int(x)) for x in np.unique(pair_slots(h))]
                 starts = np.arange(min(2, len(words) - size) + 1)  # in case the first words are edited
-                rows += [(i, size, len(words), 1, int(x)) for x in np.unique(cgk_keys(h, starts, size, repeats, bits).view(np.int64))]
+                rows += [(i, size, len(words), 1, int(x)) for x in np.unique(cgk_keys(windows_at(h, starts, np.full(len(starts), len(h)), size), size, repeats, bits).view(np.int64))]
             if rows:
                 at, size, n, what, value = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(at), size, n, what, value], names=["item_id", "size", "words", "kind", "value"])
@@ -114,63 +146,45 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, known, classes, simila
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(np.frombuffer(known.value, np.uint8))
-        hashes = Growing(np.uint64)
-        words = WordTable(lambda fresh: hashes.extend(word_hashes(fresh)), hashes.clear)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 4 << 20):
             texts = part.column("text").to_pylist()
-            codes, counts = words.codes(texts, normal)
-            h = hashes.a[codes]
+            h, counts = word_hashes(texts)
             if len(h) < LEAST_WORDS:
                 continue
             ends = np.cumsum(counts)
-            end = np.repeat(ends, counts)
-            hit = np.append(bitmap[pair_slots(h)], 0).astype(np.int64)
+            hit = np.append(bitmap[pair_slots(h)], 0).astype(np.int32)
             hit[ends[counts > 0] - 1] = 0  # pairs that span two texts
             total = np.concatenate([[0], np.cumsum(hit)])
-            found: dict[int, tuple[list, list]] = {}
+            opens = np.flatnonzero(hit)
+            doc = np.searchsorted(ends, opens, side="right")
+            end = ends[doc]
+            found: dict[tuple, set] = {}
             for size, most in classes:
                 need = max(1, size - 1 - 2 * edits_allowed(most, similarity))
-                starts = np.flatnonzero(hit)
-                # two words short, as an item may end with its document and lack its last words
-                starts = starts[(total[np.minimum(starts + size - 1, end[starts])] - total[starts] >= need)]
-                if not len(starts):
-                    continue
-                keys = cgk_keys_within(h, starts, end, size, repeats, bits)
-                for s, row in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True):
-                    found.setdefault((s, most), ([], []))[0].extend(row)
-            if not found:
-                continue
-            doc = np.repeat(np.arange(len(counts)), counts)
-            split: dict[int, list[str]] = {}
-            rows = []
-            for (s, most), (keys, _) in found.items():
-                d = int(doc[s])
-                if d not in split:
-                    split = {d: normal(texts[d])}
-                first = s - int(ends[d] - counts[d])
+                pick = np.flatnonzero(total[np.minimum(opens + size - 1, end)] - total[opens] >= need)
                 spare = edits_allowed(most, similarity) + 2
+                for k in range(0, len(pick), 2048):
+                    some = pick[k : k + 2048]
+                    keys = cgk_keys(windows_at(h, opens[some], end[some], size), size, repeats, bits)
+                    for d, s, row in zip(doc[some].tolist(), opens[some].tolist(), keys.view(np.int64).tolist(), strict=True):
+                        # windows that begin close together share one stretch of text, and its verification
+                        found.setdefault((d, (s - int(ends[d] - counts[d])) // spare * spare, most, spare), set()).update(row)
+            rows, last, words = [], -1, []
+            for (d, first, most, spare), keys in sorted(found.items(), key=lambda x: x[0][0]):
+                if d != last:
+                    last, words = d, normal(texts[d])
                 a = max(0, first - spare)
-                rows.append((d, a, " ".join(split[d][a : first + most + spare]), keys))
-            d, a, text, keys = zip(*rows, strict=True)
-            at = pa.array(d, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(a, pa.int64()), pa.array(text, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tk", "start", "words", "keys"])
+                rows.append((d, a, " ".join(words[a : first + most + 2 * spare]), list(keys)))
+            if rows:
+                d, a, text, keys = zip(*rows, strict=True)
+                at = pa.array(d, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(a, pa.int64()), pa.array(text, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tk", "start", "words", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_of(docs, text_col)
     return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("tk")).mapInArrow(run, f"doc_id {kind}, tk long, start long, words string, keys array<long>")
 
 
-def cgk_keys_within(h: np.ndarray, starts: np.ndarray, end: np.ndarray, size: int, repeats: int, bits: int) -> np.ndarray:
-    """As :func:`cgk_keys`; windows stop where their document does."""
-    room = end[starts] - starts
-    if (room >= size).all():
-        return cgk_keys(h, starts, size, repeats, bits)
-    padded = np.zeros((len(starts), size), np.uint64)
-    reach = np.arange(size)
-    padded = np.where(reach < room[:, None], np.concatenate([h, np.zeros(size, np.uint64)])[starts[:, None] + reach], np.uint64(0))
-    return cgk_keys(padded.ravel(), np.arange(len(starts)) * size, size, repeats, bits)
-
-
 def _verify(similarity: float, item_kind: str, doc_kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

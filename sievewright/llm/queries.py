@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import ORACLE as CHAT_SQL
 from .chat import op10_chat_format
 from .decontaminate import op1_decontamination
+from .extract import op4_html_extraction
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import op3_line_dedup
 from .media import op6_media_columns
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_media_columns": op6_media_columns,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,

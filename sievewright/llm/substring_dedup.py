@@ -11,9 +11,9 @@ mostly share it, which makes one row of about 100 strings. What follows works on
 
 1. Anchors whose 200-byte bucket holds no other anchor can't be in a repeated string and go.
 2. Anchors with the same span around them form a class; a class of two or more is repeated as a whole.
-3. In buckets with several classes, one member of each class is split into its 400-byte buckets (the last refinement),
-   and those that hold two classes mark repeated strings. Classes whose spans agree in halves, quarters and so on were
-   settled by step 2; a class is split once, however many members it has.
+3. In buckets with several classes, one member of each class is split into cells of 25 neighbouring strings. Cells that
+   share the whole stretch they cover are repeated; cells whose common core no other has are not.
+4. What is left, the cells at the ends of repeats, is refined to its 400-byte buckets; those of two classes are repeats.
 
 Every grouping is an aggregation that combines before the shuffle; nothing is gathered per bucket.
 """
@@ -32,40 +32,34 @@ from .shared import settle, slices, table, text_of
 
 LENGTH = 400
 HALF = LENGTH // 2
-SEED_Q = 25
+#: Buckets of 8 bytes are refined to 16, 25, 50, 100, 200 and 400 bytes by those at these later offsets.
+OFFSETS = (8, 9, 25, 50, 100, 200)
 PLACE_BITS = 26
+CELL = 25  # of neighbouring strings that are settled together
+BITMAP = 1 << 25
 
 
 def _lanes(data: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
     """Identifiers of HALF and of LENGTH bytes at every position where they fit."""
-    rng = np.random.default_rng(1000 + lane)
-    letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-    odd = lambda: np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1)
     empty = np.zeros(0, np.uint64)
-    if len(data) < HALF:
+    if len(data) < LENGTH:
         return empty, empty
-    # the first buckets: 25 bytes, by sums of powers
-    powers = np.ones(SEED_Q, np.uint64)
-    factor = odd()
-    powers[1:] = np.cumprod(np.full(SEED_Q - 1, factor))
-    n = len(data) - SEED_Q + 1
-    mapped = letters[data]
-    ident = np.zeros(n, np.uint64)
-    for k in range(SEED_Q):
-        ident += mapped[k : k + n] * powers[SEED_Q - 1 - k]
-    q, out = SEED_Q, []
-    while q < LENGTH:
-        a, b = odd(), odd()
-        if len(ident) <= q:
-            out.append(empty)
-            break
-        left, right = ident[: len(ident) - q], ident[q:]
-        ident = (left ^ (left >> np.uint64(29))) * a + (right ^ (right >> np.uint64(32))) * b
-        ident ^= ident >> np.uint64(31)
-        q *= 2
-        if q >= HALF:
-            out.append(ident)
-    return (out[0], out[1]) if len(out) == 2 else (empty, empty)
+    rng = np.random.default_rng(1000 + lane)
+    # the first buckets: 8 bytes, read as a number at every position
+    ident = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)) ^ rng.integers(1, 1 << 63, dtype=np.uint64)
+    ident *= rng.integers(1, 1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    half = empty
+    for offset in OFFSETS:
+        a, b = rng.integers(1, 1 << 62, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        right = ident[offset:] >> np.uint64(32)
+        right ^= ident[offset:]
+        right *= b
+        ident = ident[: len(ident) - offset] >> np.uint64(29) ^ ident[: len(ident) - offset]
+        ident *= a
+        ident += right
+        if offset == HALF // 2:
+            half = ident
+    return half, ident
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,29 +72,35 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
+def _blend(*parts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for x in parts:
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of texts that stand one after another in ``data``: text, first and last start of the strings that share the
-    anchor (from the text's begin), and 128-bit identifiers of the anchor and of the span."""
-    one, two = _lanes(data, 0), _lanes(data, 1)
-    n = len(one[1])
+    """Anchors of texts that stand one after another in ``data``: text, first and number of the strings that share the
+    anchor (from the text's begin), how far behind the first the anchor is, and identifiers of the anchor and the span."""
+    (half, _), (_, whole) = _lanes(data, 0), _lanes(data, 1)
+    n = len(whole)
     if n < 1:
         return {}
     low = np.uint64((1 << PLACE_BITS) - 1)
-    ranked = (one[0] & ~low) | (np.arange(len(one[0]), dtype=np.uint64) & low)
-    anchor = (_least(ranked, LENGTH - HALF + 1)[:n] & low).astype(np.int64)
+    ranked = (half & ~low) | (np.arange(len(half), dtype=np.uint64) & low)
+    anchor = (_least(ranked, HALF)[:n] & low).astype(np.int64)
     begins = np.concatenate([[0], ends[:-1]])
-    starts = np.arange(n)
-    text = np.searchsorted(ends, starts, side="right")
-    valid = starts + LENGTH <= ends[text]
-    starts, text, anchor = starts[valid], text[valid], anchor[valid]
+    sizes = ends - begins
+    valid = np.maximum(sizes - LENGTH + 1, 0)
+    text = np.repeat(np.arange(len(ends)), valid)
+    starts = np.arange(int(valid.sum())) - np.repeat(np.cumsum(valid) - valid, valid) + begins[text]
     if not len(starts):
         return {}
+    anchor = anchor[starts]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     first, last = starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1]
     text, anchor = text[new], anchor[new]
-    width = (last - first).astype(np.uint64)
-    mix = lambda lane: (lane[first] * np.uint64(0x9E3779B97F4A7C15) + lane[last] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (width * np.uint64(0x165667B19E3779F9) + (anchor - first).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
-    return {"text": text, "first": first - begins[text], "n": last - first + 1, "lead": anchor - first, "a1": one[0][anchor], "a2": two[0][anchor], "s1": mix(one[1]), "s2": mix(two[1])}
+    return {"text": text, "first": first - begins[text], "n": last - first + 1, "lead": anchor - first, "a": half[anchor], "s": _blend(whole[first], whole[last], last - first, anchor - first)}
 
 
 def _joined(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -109,85 +109,152 @@ def _joined(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 1 << 20):
-        if part.column("text").get_total_buffer_size() and (found := anchors(*_joined(part))):
+    for part in slices(batches, "text", 1 << 19):
+        if found := anchors(*_joined(part)):
             at = pa.array(found["text"])
-            signed = [pa.array(found[c].view(np.int64)) for c in ("a1", "a2", "s1", "s2")]
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), *(pa.array(found[c].astype(np.int32)) for c in ("first", "n", "lead")), *signed], names=["id", "tk", "first", "n", "lead", "a1", "a2", "s1", "s2"])
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """400-byte identifiers of every string of the spans that ``spans`` lists for a text."""
-    for part in slices(batches, "text", 1 << 20):
-        out: dict[str, list] = {"row": [], "start": [], "cls": [], "w1": [], "w2": []}
-        for i, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)):
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            cut = [raw[s["first"] : s["first"] + s["n"] + LENGTH - 1] for s in spans]
-            data = np.concatenate(cut)
-            one, two = _lanes(data, 0)[1], _lanes(data, 1)[1]
-            begins = np.cumsum([0, *(len(x) for x in cut[:-1])])
-            n = np.array([s["n"] for s in spans])
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(begins, n) + inner
-            out["row"].append(np.full(len(place), i))
-            out["start"].append(np.repeat([s["first"] for s in spans], n) + inner)
-            out["cls"].append(np.repeat([s["cls"] for s in spans], n))
-            out["w1"].append(one[place])
-            out["w2"].append(two[place])
-        if out["row"]:
-            got = {k: np.concatenate(v) for k, v in out.items()}
-            at = pa.array(got["row"])
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(got["start"].astype(np.int32)), pa.array(got["cls"]), pa.array(got["w1"].view(np.int64)), pa.array(got["w2"].view(np.int64))], names=["id", "tk", "start", "cls", "w1", "w2"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        rows = []
-        for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-            raw, at, n_spans, kept, to = text.encode("utf-8", "surrogatepass"), 0, 0, [], -1
-            for begin, end in sorted((s["first"], s["first"] + s["n"] + LENGTH - 1) for s in spans or ()):
-                if begin > to:  # runs that touch are one run
-                    n_spans += 1
-                    kept.append(raw[at:begin])
-                to = at = max(to, end)
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            rows.append((len(raw), len(raw) - len(left), n_spans, left, hashlib.sha256(left).hexdigest()))
-        n, removed, spans, left, digest = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(left, pa.binary()), pa.array(digest)], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), *(pa.array(found[c].astype(np.int32)) for c in ("first", "n", "lead")), *(pa.array(found[c].view(np.int64)) for c in ("a", "s"))], names=["id", "tk", "first", "n", "lead", "a", "s"])
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run of ``n``."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+
+
+def _listed(part: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """The spans of all rows: row, then the fields."""
+    spans = part.column("spans").to_pylist()
+    row = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+    return row, *(np.array([s[c] for x in spans for s in x], np.int64) for c in names)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the listed spans: CELL strings by their distance before the anchor, whole where the text allows it. All of
+    a cell's strings hold its core, and its cover holds them all."""
+    for part in slices(batches, "text", 1 << 19):
+        data, ends = _joined(part)
+        (half, _), (_, whole) = _lanes(data, 0), _lanes(data, 1)
+        row, first, n, lead, cls = _listed(part, ("first", "n", "lead", "cls"))
+        least, most = (lead - n + 1) // CELL, lead // CELL
+        k = most - least + 1
+        cell = _runs(least, k)
+        row, anchor, cls = (np.repeat(x, k) for x in (row, first + lead, cls))
+        base = (ends - np.diff(ends, prepend=0))[row]
+        size = np.diff(ends, prepend=0)[row]
+        high, low = anchor - cell * CELL, anchor - cell * CELL - CELL + 1
+        a, b = np.maximum(low, 0), np.minimum(high, size - LENGTH)
+        full = (a == low) & (b == high)
+        core = _blend(half[base + high], half[base + high + LENGTH - CELL + 1 - HALF])
+        cover = _blend(np.where(full, whole[base + a], cls.astype(np.uint64)), np.where(full, whole[base + b], a.astype(np.uint64)), full)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(a.astype(np.int32)), pa.array((b - a + 1).astype(np.int32)), pa.array(full), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], names=["id", "tk", "first", "n", "full", "core", "cover"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Identifiers of every string of the listed spans."""
+    for part in slices(batches, "text", 1 << 19):
+        data, ends = _joined(part)
+        one, two = _lanes(data, 0)[1], _lanes(data, 1)[1]
+        row, first, n = _listed(part, ("first", "n"))
+        start = _runs(first, n)
+        row = np.repeat(row, n)
+        place = (ends - np.diff(ends, prepend=0))[row] + start
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(start.astype(np.int32)), pa.array(one[place].view(np.int64)), pa.array(two[place].view(np.int64))], names=["id", "tk", "first", "w1", "w2"])
+
+
+def _cut(keep_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows = []
+            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                raw, at, n_spans, kept, to = text.encode("utf-8", "surrogatepass"), 0, 0, [], -1
+                for begin, end in sorted((s["first"], s["first"] + s["n"] + LENGTH - 1) for s in spans or ()):
+                    if begin > to:  # runs that touch are one run
+                        n_spans += 1
+                        kept.append(raw[at:begin])
+                    to = at = max(to, end)
+                kept.append(raw[at:])
+                left = b"".join(kept)
+                rows.append((len(raw), len(raw) - len(left), n_spans, left if keep_text else None, hashlib.sha256(left).hexdigest()))
+            n, removed, spans, left, digest = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(left, pa.binary()), pa.array(digest)], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    return run
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """BITMAP bits, set at each ``key``; it is built and sent as BITMAP / 64 numbers at most, however many keys there are."""
+    words = keys.selectExpr(f"pmod(key, {BITMAP}) div 64 AS word", "shiftleft(1L, CAST(pmod(key, 64) AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(BITMAP // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _with_bit(df: DataFrame, key: str, bitmap, wanted: bool) -> DataFrame:
+    """Rows of ``df`` whose ``key`` has its bit set (or not)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint64)
+        for batch in batches:
+            slot = np.mod(batch.column(key).to_numpy(zero_copy_only=False), BITMAP)
+            hit = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            if (hit == wanted).any():
+                yield batch.filter(pa.array(hit == wanted))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` per row of ``docs``: every byte covered by a LENGTH-byte
-    string that also starts anywhere else is removed; strings are judged on the input, and overlaps count.
+    string that also starts anywhere else is removed; strings are judged on the input, and overlaps count. ``kept`` is
+    null unless ``keep_text``.
 
     Texts are UTF-8 bytes, null is empty; ``kept`` may be cut inside a character. Texts under LENGTH bytes stay. Rows that
     repeat an id and a text are one document found twice: both get the result that one has. Null ids are ids. Extra
     columns are ignored; an empty table gives no rows.
+
+    Bitmaps of a fixed size keep rows out of shuffles that surely have no partner; equality joins decide about the rest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    text = text_of(docs, text_col)
-    source = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    found = source.mapInArrow(_find, f"id {kind}, tk long, first int, n int, lead int, a1 long, a2 long, s1 long, s2 long").distinct()
-    found = settle(found, "anchors")
-    shared = found.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a1", "a2")
-    mine = settle(found.join(shared, ["a1", "a2"]), "shared-anchors")
-    classes = mine.groupBy("a1", "a2", "lead", "n", "s1", "s2").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep"))
-    crowded = classes.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a1", "a2")
-    split = classes.join(crowded, ["a1", "a2"]).select("rep.*", "n", F.xxhash64("a1", "a2", "lead", "n", "s1", "s2").alias("cls"), "members")
-    split = settle(split, "split")
-    lists = split.groupBy("id", "tk").agg(F.collect_list(F.struct("first", "n", "cls")).alias("spans"))
-    texts = source.where(F.octet_length("text") >= LENGTH).join(lists.withColumnsRenamed({"id": "id2", "tk": "tk2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2"))).select("id", "tk", "text", "spans").dropDuplicates(["id", "tk"])
-    strings = settle(texts.mapInArrow(_split, f"id {kind}, tk long, start int, cls long, w1 long, w2 long"), "strings")
-    twice = strings.groupBy("w1", "w2").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("w1", "w2")
-    single = strings.join(twice, ["w1", "w2"]).select("id", "tk", F.col("start").alias("first"), F.lit(1).alias("n"))
-    whole = classes.where("members > 1").select("a1", "a2", "lead", "n", "s1", "s2")
-    whole = mine.join(whole, ["a1", "a2", "lead", "n", "s1", "s2"]).select("id", "tk", "first", "n")
-    spans = whole.union(single).groupBy("id", "tk").agg(F.collect_list(F.struct("first", "n")).alias("spans")).withColumnsRenamed({"id": "id2", "tk": "tk2"})
-    done = source.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")), "left").select("id", "text", "spans")
-    return done.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    text, context = text_of(docs, text_col), docs.sparkSession.sparkContext
+    source = docs.select(docs[id_col].alias("id"), F.hash(text).alias("tk"), F.xxhash64(docs[id_col], F.hash(text)).alias("key"), text.alias("text"))
+    found = settle(source.select("id", "tk", "text").mapInArrow(_find, f"id {kind}, tk int, first int, n int, lead int, a long, s long"), "anchors")
+    shared = settle(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "shared")
+    maybe = _with_bit(found, "a", context.broadcast(_bitmap(shared.select(F.col("a").alias("key")))), True)
+    mine = settle(maybe.join(shared, "a").distinct(), "shared-anchors")
+    span = ["a", "lead", "n", "s"]
+    classes = mine.groupBy(*span).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep"))
+    crowded = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
+    split = settle(classes.join(crowded, "a").select("rep.*", "n", "lead", F.xxhash64(*span).alias("cls")), "split")
+    whole = settle(mine.join(classes.where("members > 1").select(*span), span).select("id", "tk", "first", "n"), "whole")
+
+    other = {"id": "id2", "tk": "tk2"}
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2"))
+    of = lambda rows, *fields: rows.groupBy("id", "tk").agg(F.collect_list(F.struct(*fields)).alias("spans")).withColumnsRenamed(other)
+    touched = whole.select("id", "tk").union(split.select("id", "tk")).distinct()
+    marks = context.broadcast(_bitmap(touched.select(F.xxhash64("id", "tk").alias("key"))))
+    texts = settle(_with_bit(source, "key", marks, True).select("id", "tk", "text"), "touched")
+    listed = texts.join(of(split, "first", "n", "lead", "cls"), same).select("id", "tk", "text", "spans")
+    cells = settle(listed.mapInArrow(_cells, f"id {kind}, tk int, first int, n int, full boolean, core long, cover long").distinct(), "cells")
+    covers = cells.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first", "n")).alias("rep"))
+    covers = settle(covers, "covers")
+    mixed = covers.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
+    accepted = cells.join(covers.where("members > 1").select("core", "cover"), ["core", "cover"]).where("full").select("id", "tk", "first", "n")
+    rest = covers.join(mixed, "core").select("rep.*")
+    listed = texts.join(of(rest, "first", "n"), same).select("id", "tk", "text", "spans")
+    strings = settle(listed.mapInArrow(_strings, f"id {kind}, tk int, first int, w1 long, w2 long"), "strings")
+    place = F.struct("id", "tk", "first")  # cells of one text may overlap, so a string may come twice from one place
+    twice = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("NOT x <=> y").select("w1", "w2")
+    single = strings.join(twice, ["w1", "w2"]).select("id", "tk", "first", F.lit(1).alias("n"))
+
+    spans = of(whole.union(accepted).union(single), "first", "n")
+    out = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    cut = texts.join(spans, same, "left").select("id", "text", "spans").mapInArrow(_cut(keep_text), out)
+    rest = _with_bit(source, "key", marks, False).select("id", "text", F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans"))
+    return cut.union(rest.mapInArrow(_cut(keep_text), out))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeated_substrings(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return repeated_substrings(docs, keep_text=False).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
