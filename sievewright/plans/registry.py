@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analytics, search, texts
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES
+ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES
