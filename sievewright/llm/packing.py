@@ -24,7 +24,7 @@ from .shared import Growing, WordTable, segment_sums, settle, slices, table, tex
 
 FAN = 16
 #: What the vocabulary's normalizer takes for white space; str.split() also takes the four separators.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
