@@ -222,7 +222,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = settle(source.select("id", "tk", "text").mapInArrow(_find, f"id {kind}, tk int, first int, n int, lead int, a long, s long"), "anchors")
     shared = settle(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "shared")
     maybe = _with_bit(found, "a", context.broadcast(_bitmap(shared.select(F.col("a").alias("key")))), True)
-    mine = settle(maybe.join(shared, "a").distinct(), "shared-anchors")
+    # dealt anew before the distinct, which would else hold the join to one task per bucket
+    mine = settle(maybe.join(shared, "a").repartition("id", "tk", "first").distinct(), "shared-anchors")
     span = ["a", "lead", "n", "s"]
     classes = mine.groupBy(*span).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep"))
     crowded = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
