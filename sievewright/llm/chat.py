@@ -61,15 +61,16 @@ def format_reply_trees(messages: DataFrame, top: int = 1, tree: str = "tree_id",
     size = base.groupBy("t").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
     linked = base.join(real, _same(base, real, [("t", "t2"), ("p", "n2")]), "left")
     up = settle(linked.select("t", "n", F.col("n2").alias("up"), "s", F.lit(1).cast("long").alias("k")), "up")
-    jumps = []
-    for _ in range(ceil(log2(size)) + 1):
-        if not up.where("up IS NOT NULL").take(1):
+    state = ["t", "n", "up", "s", "k"]
+    whole, active, jumps = up.where("up IS NULL").select(*state), up.where("up IS NOT NULL").select(*state), []
+    for _ in range(ceil(log2(size)) + 1):  # what is still active then hangs on a cycle
+        if not active.take(1):
             break
-        jumps.append(up.where("up IS NOT NULL").select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2")))
-        a, b = up, up.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("k").alias("k2"))
-        step = a.join(b, _same(a, b, [("t", "t2"), ("up", "n2")]), "left")
-        up = settle(step.select("t", "n", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("k") + F.coalesce("k2", F.lit(0))).alias("k")), "up")
-    whole = up.where("up IS NULL")  # the others hang on a cycle
+        jumps.append(active.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2")))
+        b = whole.union(active).select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("k").alias("k2"))
+        step = active.join(b, _same(active, b, [("t", "t2"), ("up", "n2")]))
+        up = settle(step.select("t", "n", F.col("up2").alias("up"), (F.col("s") + F.col("s2")).alias("s"), (F.col("k") + F.col("k2")).alias("k")), "up")
+        whole, active = whole.union(up.where("up IS NULL")), up.where("up IS NOT NULL")
     parents = base.select(F.col("t").alias("t2"), F.col("p").alias("p2")).where("p2 IS NOT NULL").distinct()
     leaves = whole.join(parents, _same(whole, parents, [("t", "t2"), ("n", "p2")]), "left_anti")
     ranked = leaves.withColumn("mean", F.col("s") / F.col("k")).withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("mean"), "n")))
