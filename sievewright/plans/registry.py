@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, search, texts
+from . import analytics, rounds, search, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES
-ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES
+QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES
+ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES
