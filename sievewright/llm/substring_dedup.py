@@ -37,6 +37,8 @@ OFFSETS = (8, 9, 25, 50, 100, 200)
 PLACE_BITS = 26
 CELL = 25  # of neighbouring strings that are settled together
 BITMAP = 1 << 25
+HOT = 1024  # keys with over 1 / HOT of all rows are fewer than HOT; their rows are dealt over SALTS places
+SALTS = 64
 
 
 def _lanes(data: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +207,19 @@ def _with_bit(df: DataFrame, key: str, bitmap, wanted: bool) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def _spread(rows: DataFrame, keys: DataFrame, on: list[str], load: str, total: int) -> DataFrame:
+    """``rows`` whose ``on`` is in ``keys``, where ``load`` counts the rows that have it, ``total`` in all.
+
+    The rows of a hot key don't meet in one task: they are salted, and the key is repeated for every salt. Hot keys are
+    fewer than HOT by their definition, so the list of them may be broadcast.
+    """
+    is_hot = F.col(load) * HOT > total
+    hot = F.broadcast(keys.where(is_hot).select(*on, F.lit(True).alias("hot")))
+    salted = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "tk", "first"), F.lit(SALTS))).otherwise(0).cast("int"))
+    places = keys.select(*on, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return salted.join(places, [*on, "salt"]).select(*rows.columns)
+
+
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` per row of ``docs``: every byte covered by a LENGTH-byte
     string that also starts anywhere else is removed; strings are judged on the input, and overlaps count. ``kept`` is
@@ -220,15 +235,14 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text, context = text_of(docs, text_col), docs.sparkSession.sparkContext
     source = docs.select(docs[id_col].alias("id"), F.hash(text).alias("tk"), F.xxhash64(docs[id_col], F.hash(text)).alias("key"), text.alias("text"))
     found = settle(source.select("id", "tk", "text").mapInArrow(_find, f"id {kind}, tk int, first int, n int, lead int, a long, s long"), "anchors")
-    shared = settle(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "shared")
+    shared = settle(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
     maybe = _with_bit(found, "a", context.broadcast(_bitmap(shared.select(F.col("a").alias("key")))), True)
-    # dealt anew before the distinct, which would else hold the join to one task per bucket
-    mine = settle(maybe.join(shared, "a").repartition("id", "tk", "first").distinct(), "shared-anchors")
+    mine = settle(_spread(maybe, shared, ["a"], "k", found.count()).distinct(), "shared-anchors")
     span = ["a", "lead", "n", "s"]
-    classes = mine.groupBy(*span).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep"))
+    classes = settle(mine.groupBy(*span).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep")), "classes")
     crowded = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
     split = settle(classes.join(crowded, "a").select("rep.*", "n", "lead", F.xxhash64(*span).alias("cls")), "split")
-    whole = settle(mine.join(classes.where("members > 1").select(*span), span).select("id", "tk", "first", "n"), "whole")
+    whole = settle(_spread(mine, classes.where("members > 1"), span, "members", mine.count()).select("id", "tk", "first", "n"), "whole")
 
     other = {"id": "id2", "tk": "tk2"}
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2"))
