@@ -215,7 +215,7 @@ def _spread(rows: DataFrame, keys: DataFrame, on: list[str], load: str, total: i
     """
     is_hot = F.col(load) * HOT > total
     hot = F.broadcast(keys.where(is_hot).select(*on, F.lit(True).alias("hot")))
-    salted = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "tk", "first"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salted = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
     places = keys.select(*on, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     return salted.join(places, [*on, "salt"]).select(*rows.columns)
 
@@ -240,8 +240,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mine = settle(_spread(maybe, shared, ["a"], "k", found.count()).distinct(), "shared-anchors")
     span = ["a", "lead", "n", "s"]
     classes = settle(mine.groupBy(*span).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep")), "classes")
-    crowded = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-    split = settle(classes.join(crowded, "a").select("rep.*", "n", "lead", F.xxhash64(*span).alias("cls")), "split")
+    crowded = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    split = settle(_spread(classes, crowded, ["a"], "k", classes.count()).select("rep.*", "n", "lead", F.xxhash64(*span).alias("cls")), "split")
     whole = settle(_spread(mine, classes.where("members > 1"), span, "members", mine.count()).select("id", "tk", "first", "n"), "whole")
 
     other = {"id": "id2", "tk": "tk2"}
