@@ -57,11 +57,23 @@ def cosine_topk(spark, d):
     return _cosine(spark, d).orderBy(F.desc("sim"), "vec_id").limit(20)
 
 
-def hybrid_rrf(spark, d):
+def _channels(spark, d):
+    """The best 60 of the sparse and of the dense ranking."""
     sparse = S.sparse_dot(_docs(spark, d), _one(spark)).select("doc_id", F.round("score", 6).alias("s")).orderBy(F.desc("s"), "doc_id").limit(60).withColumn("g", F.lit(0))
     dense = _cosine(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("sim").alias("s")).orderBy(F.desc("s"), "doc_id").limit(60).withColumn("g", F.lit(0))
-    ranked = [S.top(x, "g", 60, F.desc("s"), F.col("doc_id")) for x in (sparse, dense)]
-    return S.fuse(ranked, "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "doc_id").limit(20)
+    return [S.top(x, "g", 60, F.desc("s"), F.col("doc_id")) for x in (sparse, dense)]
+
+
+def hybrid_rrf(spark, d):
+    return S.fuse(_channels(spark, d), "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "doc_id").limit(20)
+
+
+def channel_breakdown(spark, d):
+    """The fused ranking's documents with their places in the sparse and the dense one."""
+    sparse, dense = (x.select("doc_id", F.col("rank").cast("long").alias(c)) for x, c in zip(_channels(spark, d), ("sparse_rank", "dense_rank"), strict=True))
+    both = hybrid_rrf(spark, d).join(sparse, "doc_id", "left").join(dense, "doc_id", "left")
+    channel = F.when(F.col("dense_rank").isNull(), "sparse").when(F.col("sparse_rank").isNull(), "dense").otherwise("hybrid")
+    return both.select("doc_id", "rrf", "sparse_rank", "dense_rank", channel.alias("channel"))
 
 
 def df_table(spark, d):
@@ -97,7 +109,7 @@ def dedupe_keep_max(spark, d):
     return S.top(s, "source", 1, F.desc("key"), F.col("doc_id")).select("source", "doc_id", "key")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch, sparse_dot_topk, cosine_topk, hybrid_rrf, df_table, corpus_stats, matched_terms, seeds_top2, collapse_best, dedupe_keep_max)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch, sparse_dot_topk, cosine_topk, hybrid_rrf, channel_breakdown, df_table, corpus_stats, matched_terms, seeds_top2, collapse_best, dedupe_keep_max)}
 _SPARSE = "SELECT doc_id, round(sum(qtf * idf * w), 6) AS score FROM w GROUP BY doc_id"
 _BM = "SELECT doc_id, round(sum(idf * w), 6) AS score, count(*) AS matched FROM w GROUP BY doc_id"
 _COS = "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS sim FROM embeddings"
@@ -106,6 +118,7 @@ ORACLES = {
     "bm25_batch": f"{BATCH} SELECT query AS item_id, doc_id, rank, score FROM r WHERE rank <= 10",
     "sparse_dot_topk": f"WITH {ONE}, {PARTS} {_SPARSE} ORDER BY score DESC, doc_id LIMIT 50",
     "cosine_topk": f"{_COS} ORDER BY sim DESC, vec_id LIMIT 20",
+    "channel_breakdown": f"WITH {ONE}, {PARTS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_SPARSE})), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS r FROM ({_COS})), x AS (SELECT doc_id, round(sum(1e0 / (60e0 + r)), 9) AS rrf FROM (SELECT * FROM a WHERE r <= 60 UNION ALL SELECT * FROM b WHERE r <= 60) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20) SELECT doc_id, rrf, a.r AS sparse_rank, b.r AS dense_rank, CASE WHEN b.r IS NULL THEN 'sparse' WHEN a.r IS NULL THEN 'dense' ELSE 'hybrid' END AS channel FROM x LEFT JOIN (SELECT * FROM a WHERE r <= 60) a USING (doc_id) LEFT JOIN (SELECT * FROM b WHERE r <= 60) b USING (doc_id)",
     "hybrid_rrf": f"WITH {ONE}, {PARTS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_SPARSE})), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS r FROM ({_COS})) SELECT doc_id, round(sum(1e0 / (60e0 + r)), 9) AS rrf FROM (SELECT * FROM a WHERE r <= 60 UNION ALL SELECT * FROM b WHERE r <= 60) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20",
     "df_table": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY term",
     "corpus_stats": f"SELECT count(*) AS n_docs, round(avg(CAST(len({TOK}) AS DOUBLE)), 6) AS avgdl FROM documents",
