@@ -5,9 +5,11 @@ random bit of (step, symbol), which turns a small edit distance into a small Ham
 For each of ``repeats`` walks a key samples ``bits`` outputs of an item-sized window; windows of documents and items
 that share a key are candidates, and each candidate is verified by an exact edit distance of the whole item.
 
-A document window can only hold an item if it has enough of the benchmark's word pairs (an edit spoils two at most),
-so windows below that count are left out before the walks: this loses nothing. The pairs are held in a bitmap of fixed
-size. Windows carry their own words to the verification, so texts are never shuffled.
+Items are keyed at their first words and at places along their whole length, document windows wherever they begin, also
+up to an item's edits before the text. A window can only hold an item's stretch if it has enough of the benchmark's word
+pairs (an edit spoils two at most), so windows below that count are left out before the walks: this filter loses nothing,
+what is missed is missed by the walks alone. The pairs are held in a bitmap of fixed size. Windows carry their own words
+to the verification, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +34,18 @@ def edits_allowed(words: int, similarity: float) -> int:
     return int((1 - similarity) * words + 1e-9)
 
 
+def item_places(words: int, size: int) -> list[int]:
+    """Where an item's keyed stretches begin: the first three, as its first words may be edited, each ``size`` words from
+    there on, and the last."""
+    last = words - size
+    return sorted({*range(min(2, last) + 1), *range(0, last + 1, size), last})
+
+
+def stretch_edits(words: int, size: int, similarity: float) -> int:
+    """Edits of the least edited of an item's keyed stretches at most, as ``words // size`` of them share no word."""
+    return edits_allowed(words, similarity) // (words // size)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64, copy=True)
     x ^= x >> np.uint64(31)
@@ -100,9 +114,23 @@ def cgk_keys(windows: np.ndarray, size: int, repeats: int, bits: int) -> np.ndar
     return key
 
 
-def windows_at(hashes: np.ndarray, starts: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+def windows_at(hashes: np.ndarray, starts: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
     place = starts[:, None] + np.arange(size)
-    return np.where(place < end[:, None], hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
+    return np.where((place >= begin[:, None]) & (place < end[:, None]), hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
+
+
+def window_starts(total: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int, spoil: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and start of every window with the word pairs that a stretch with ``spoil`` edits keeps; ``total`` counts the
+    pairs before each word. Starts before the text's begin are for stretches that have lost their first words."""
+    need, n = max(1, size - 1 - 2 * spoil), len(total) - 1
+    starts = np.flatnonzero(total[np.minimum(np.arange(n) + size - 1, n)] - total[:-1] >= need)
+    doc = np.searchsorted(ends, starts, side="right")
+    enough = total[np.minimum(starts + size - 1, ends[doc])] - total[starts] >= need
+    head = np.flatnonzero(total[np.minimum(begins + size - 2, ends)] - total[begins] >= need) if spoil else np.zeros(0, np.int64)
+    early = (begins[head][:, None] - np.arange(1, spoil + 1)).ravel()
+    text = np.repeat(head, spoil)
+    good = total[np.clip(early + size - 1, begins[text], ends[text])] - total[begins[text]] >= need
+    return np.concatenate([doc[enough], text[good]]), np.concatenate([starts[enough], early[good]])
 
 
 def best_match(item: list[str], window: list[str]) -> tuple[int, int]:
@@ -119,7 +147,7 @@ def best_match(item: list[str], window: list[str]) -> tuple[int, int]:
 
 
 def _items(items: DataFrame, id_col: str, text_col: str, similarity: float, repeats: int, bits: int) -> DataFrame:
-    """``(item_id, size, words, kind, value)``: of each item its LSH keys (kind 1) and its word pairs' slots (kind 0)."""
+    """``(item_id, size, words, spoil, kind, value)``: of each item its LSH keys (kind 1) and its word pairs' slots (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,19 +158,24 @@ def _items(items: DataFrame, id_col: str, text_col: str, similarity: float, repe
                     continue
                 size = max(s for s in SIZES if s <= len(words))
                 h, _ = word_hashes([text])
-                rows += [(i, size, len(words), 0, int(x)) for x in np.unique(pair_slots(h))]
-                starts = np.arange(min(2, len(words) - size) + 1)  # in case the first words are edited
-                rows += [(i, size, len(words), 1, int(x)) for x in np.unique(cgk_keys(windows_at(h, starts, np.full(len(starts), len(h)), size), size, repeats, bits).view(np.int64))]
+                own = i, size, len(words), stretch_edits(len(words), size, similarity)
+                rows += [(*own, 0, int(x)) for x in np.unique(pair_slots(h))]
+                starts = np.array(item_places(len(words), size))
+                for k in range(0, len(starts), 2048):
+                    some = starts[k : k + 2048]
+                    keys = cgk_keys(windows_at(h, some, np.zeros_like(some), np.full_like(some, len(h)), size), size, repeats, bits).view(np.int64)
+                    rows += [(*own, 1, x) for x in np.unique(keys).tolist()]
             if rows:
-                at, size, n, what, value = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), size, n, what, value], names=["item_id", "size", "words", "kind", "value"])
+                at, *numbers = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), *numbers], names=["item_id", "size", "words", "spoil", "kind", "value"])
 
     kind = items.schema[id_col].dataType.simpleString()
-    return items.select(items[id_col].alias("id"), text_of(items, text_col).alias("text")).mapInArrow(run, f"item_id {kind}, size long, words long, kind long, value long")
+    return items.select(items[id_col].alias("id"), text_of(items, text_col).alias("text")).mapInArrow(run, f"item_id {kind}, size long, words long, spoil long, kind long, value long")
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, known, classes, similarity: float, repeats: int, bits: int) -> DataFrame:
-    """``(doc_id, tk, start, words, key)``: the windows that may hold an item, their words and their LSH keys."""
+    """``(doc_id, tk, start, words, keys)``: the LSH keys of windows that may hold an item's stretch, and the words from
+    ``start`` on of any item around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(np.frombuffer(known.value, np.uint8))
@@ -155,25 +188,22 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, known, classes, simila
             hit = np.append(bitmap[pair_slots(h)], 0).astype(np.int32)
             hit[ends[counts > 0] - 1] = 0  # pairs that span two texts
             total = np.concatenate([[0], np.cumsum(hit)])
-            opens = np.flatnonzero(hit)
-            doc = np.searchsorted(ends, opens, side="right")
-            end = ends[doc]
+            begins = ends - counts
             found: dict[tuple, set] = {}
-            for size, most in classes:
-                need = max(1, size - 1 - 2 * edits_allowed(most, similarity))
-                pick = np.flatnonzero(total[np.minimum(opens + size - 1, end)] - total[opens] >= need)
+            for size, most, spoil in classes:
+                doc, opens = window_starts(total, begins, ends, size, spoil)
                 spare = edits_allowed(most, similarity) + 2
-                for k in range(0, len(pick), 2048):
-                    some = pick[k : k + 2048]
-                    keys = cgk_keys(windows_at(h, opens[some], end[some], size), size, repeats, bits)
-                    for d, s, row in zip(doc[some].tolist(), opens[some].tolist(), keys.view(np.int64).tolist(), strict=True):
+                for k in range(0, len(opens), 2048):
+                    d, s = doc[k : k + 2048], opens[k : k + 2048]
+                    keys = cgk_keys(windows_at(h, s, begins[d], ends[d], size), size, repeats, bits)
+                    for x, at, row in zip(d.tolist(), ((s - begins[d]) // spare * spare).tolist(), keys.view(np.int64).tolist(), strict=True):
                         # windows that begin close together share one stretch of text, and its verification
-                        found.setdefault((d, (s - int(ends[d] - counts[d])) // spare * spare, most, spare), set()).update(row)
+                        found.setdefault((x, at, most, size, spare), set()).update(row)
             rows, last, words = [], -1, []
-            for (d, first, most, spare), keys in sorted(found.items(), key=lambda x: x[0][0]):
+            for (d, first, most, size, spare), keys in sorted(found.items(), key=lambda x: x[0][0]):
                 if d != last:
                     last, words = d, normal(texts[d])
-                a = max(0, first - spare)
+                a = max(0, first - spare - (most - size))
                 rows.append((d, a, " ".join(words[a : first + most + 2 * spare]), list(keys)))
             if rows:
                 d, a, text, keys = zip(*rows, strict=True)
@@ -218,10 +248,10 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8
     for row in marks.toLocalIterator():
         bitmap[row["value"]] = 1
     known = spark.sparkContext.broadcast(np.packbits(bitmap).tobytes())
-    classes = [(r["size"], r["most"]) for r in parts.groupBy("size").agg(F.max("words").alias("most")).collect()]
+    classes = [(r["size"], r["most"], r["spoil"]) for r in parts.groupBy("size").agg(F.max("words").alias("most"), F.max("spoil").alias("spoil")).collect()]
     windows = _windows(docs, id_col, text_col, known, sorted(classes), similarity, repeats, bits)
     keyed = windows.select("doc_id", "tk", "start", "words", F.explode("keys").alias("key"))
-    keys = parts.where("kind = 1").select("item_id", F.col("value").alias("key"))
+    keys = parts.where("kind = 1").select("item_id", F.col("value").alias("key")).distinct()
     candidates = keyed.join(keys, "key").select("doc_id", "tk", "start", "words", "item_id").distinct()
     texts = items.select(items[item_col].alias("item"), text_of(items, item_text).alias("text")).distinct()
     both = candidates.join(texts, candidates["item_id"].eqNullSafe(texts["item"])).select("doc_id", "tk", "item_id", "start", "words", F.col("text").alias("item"))
