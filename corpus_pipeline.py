@@ -31,10 +31,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays (of rows that repeat it, one)."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates the row with the smallest id stays, of several such the one whose text has the
+    smallest hash; of null ids each group without another id keeps one."""
+    mark = free_name(docs, "row_key")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of(docs)).alias("tk"))
+    kept = simhash.representatives(docs.select(key.alias("doc_id"), "text")).select(F.col("id").alias("kept"))
+    keyed = docs.withColumn(mark, key)
+    whole = keyed.join(kept, keyed[mark] == kept["kept"], "left_semi")
+    return whole.dropDuplicates([mark]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,6 +176,14 @@ def link_forest(fps: DataFrame, cell: int = 20_000) -> DataFrame:
     return found.where("kind = 0").select("u", "v").union(more.where("kind = 0").select("u", "v"))
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` per row, and of each fingerprint ``(fp, least, root)``: its smallest id and its component's root."""
+    fps = settle(fingerprints(docs, id_col, text_col), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    stars = components(link_forest(classes.select("fp")))
+    return fps, settle(classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component)`` per row of ``docs``: fp the signed fingerprint, component the smallest id reachable over
     links of at most MOST differing bits, the row's own id included.
@@ -183,15 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and link like any other. Rows with a null id take part; a component whose
     ids are all null has a null component. Repeated ids keep one row each. An empty table gives no rows.
     """
-    fps = settle(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    stars = components(link_forest(classes.select("fp")))
-    rooted = settle(classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    fps, rooted = _rooted(docs, id_col, text_col)
     best = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = rooted.join(best, "root").select("fp", "component")
     return fps.join(by_fp, "fp").select("id", "fp", "component")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id)``: the smallest id of each component."""
+    return _rooted(docs, id_col, text_col)[1].groupBy("root").agg(F.min("least").alias("id")).select("id")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
