@@ -24,17 +24,33 @@ from .shared import Growing, WordTable, hash32, segment_sums, slices, table, tex
 WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 17, 1 << 14, 1 << 12
 
 
+PIECE = 64
+
+
 def word_features(word: str) -> np.ndarray:
     """Buckets of the word and of its character 3- and 4-grams, with its ends marked."""
-    w = f"<{word[:64]}>".encode("utf-8", "surrogatepass")  # a word's features stay bounded; every word of a text counts
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
     grams = [w] + [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
     return hash32(grams) & (WORD_BUCKETS - 1)
 
 
+def word_pieces(word: str) -> Iterator[np.ndarray]:
+    """The word's features, those of a long word in turn: of the whole word, then of its n-grams by where they begin."""
+    if len(word) <= PIECE:
+        yield word_features(word)
+        return
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
+    yield hash32([w]) & (WORD_BUCKETS - 1)
+    for k in range(0, len(w) - 2, PIECE * 64):
+        part = w[k : k + PIECE * 64 + 3]  # overlaps by what a 4-gram reaches over
+        grams = [part[i : i + n] for n in (3, 4) for i in range(min(PIECE * 64, len(part) - n + 1))]
+        yield hash32(grams) & (WORD_BUCKETS - 1)
+
+
 def word_shape(word: str) -> int:
     """Bucket of the word's run-free pattern of letter cases, digits and signs."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
@@ -65,7 +81,7 @@ def features(text: str, known: dict | None = None) -> tuple[np.ndarray, np.ndarr
     known = {} if known is None else known
     for w in distinct:
         if w not in known:
-            known[w] = word_features(w), word_shape(w)
+            known[w] = np.concatenate(list(word_pieces(w))), word_shape(w)
     own = [known[w][0] for w in distinct]
     times = np.bincount(codes)
     buckets = np.concatenate(own)
@@ -117,9 +133,14 @@ class Scorer:
             x.clear()
 
     def _fill(self, words: list[str]) -> None:
-        own = [word_features(w) for w in words]
+        own = [word_features(w) if len(w) <= PIECE else np.zeros(0, np.int64) for w in words]
         n = np.array([len(x) for x in own])
-        self.sum.extend(segment_sums(self.model.word[np.concatenate(own)].astype(np.float64), n))
+        total = segment_sums(self.model.word[np.concatenate(own).astype(np.int64)].astype(np.float64), n)
+        for i in np.flatnonzero(n == 0).tolist():
+            for part in word_pieces(words[i]):  # a long word's features are never held at once
+                total[i] += self.model.word[part].astype(np.float64).sum()
+                n[i] += len(part)
+        self.sum.extend(total)
         self.n.extend(n)
         self.shape.extend([word_shape(w) for w in words])
 
