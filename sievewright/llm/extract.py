@@ -5,7 +5,8 @@ repeat). Pages of a host mostly share a few such trees, so trees are counted per
 host's reference, and every other tree of the host is aligned to it once by simple tree matching, however many pages have
 it. Each text node then has a slot of the reference; per slot the most frequent text is counted over all pages. A text
 that fills its slot on at least half of three or more pages is template; what varies is content, unless its place says
-otherwise (navigation, forms, comments and so on, which may vary as well).
+otherwise (navigation, forms, comments and so on, which may vary as well). Pages of a host with the same article, under
+whatever boilerplate, count as one page, so a page that is repeated is no template of itself.
 
 What is shuffled are trees, slots and hashes of texts; pages are read again for the extraction and never shuffled, except
 where the table of templates is too large to be broadcast.
@@ -186,16 +187,18 @@ def _hash(text: str) -> int:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per page for its tree (path null), and one per distinct text block: path and hash of the text."""
+    """A row per page for its tree (path null), and one per distinct text block: path and hash of the text. With each
+    comes the hash of the page's article: of all blocks that stand where articles stand."""
     for part in slices(batches, "html"):
         rows = []
         for i, html in enumerate(part.column("html").to_pylist()):
             found = blocks(html)
             tree = skeleton([p for p, _, _ in found])
-            rows.append((i, tree, None, None))
-            rows += [(i, tree, *x) for x in {("".join(f"\t{n}" for n in p), _hash(t)) for p, t, _ in found}]
-        at, tree, path, text = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(at, pa.int64())), pa.array(tree, pa.string()), pa.array(path, pa.string()), pa.array(text, pa.int64())], names=["host", "tree", "path", "text"])
+            article = _hash("\n".join(t for _, t, _ in candidates(found)))
+            rows.append((i, tree, article, None, None))
+            rows += [(i, tree, article, *x) for x in {("".join(f"\t{n}" for n in p), _hash(t)) for p, t, _ in found}]
+        at, tree, article, path, text = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(at, pa.int64())), pa.array(tree, pa.string()), pa.array(article, pa.int64()), pa.array(path, pa.string()), pa.array(text, pa.int64())], names=["host", "tree", "article", "path", "text"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +212,13 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
     """``(host, path, text)``: texts that are template on ``pages(host, html)``, by the paths at which they stand."""
-    seen = pages.mapInArrow(_trees, "host string, tree string, path string, text long")
+    seen = pages.mapInArrow(_trees, "host string, tree string, article long, path string, text long")
+    seen = seen.groupBy("host", "article", "path", "text").agg(F.min("tree").alias("tree"))  # of an article's copies, one
     seen = settle(seen.groupBy("host", "tree", "path", "text").agg(F.count(F.lit(1)).alias("n")), "page-trees")
     trees = seen.where("path IS NULL").select("host", "tree", "n")
     reference = trees.groupBy("host").agg(F.max(F.struct("n", "tree")).alias("x")).select("host", F.col("x.tree").alias("reference"))
-    slots = settle(trees.join(reference, "host").select("host", "tree", "reference").mapInArrow(_align, "host string, tree string, path string, slot string"), "slots")
+    # a text's tree need not be its page's, where copies differ
+    slots = settle(seen.select("host", "tree").distinct().join(reference, "host").select("host", "tree", "reference").mapInArrow(_align, "host string, tree string, path string, slot string"), "slots")
     texts = seen.where("path IS NOT NULL").join(slots, ["host", "tree", "path"])
     pages_of = trees.join(slots, ["host", "tree"]).groupBy("host", "slot").agg(F.sum("n").alias("pages"))
     counts = texts.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
@@ -231,16 +236,19 @@ def is_content(path: tuple[str, ...]) -> bool:
     return True
 
 
-def main_text(html: str, constant: set[tuple[str, int]]) -> str:
-    """Blocks that aren't template and stand where articles stand. Inside <article> or <main>, if the page has one."""
-    found = [(p, t, links) for p, t, links in blocks(html) if is_content(p)]
+def candidates(found: list) -> list:
+    """Of a page's blocks those that stand where articles stand. Inside <article> or <main>, if the page has one."""
+    found = [x for x in found if is_content(x[0])]
     for wanted in ("article", "main"):
         inside = [x for x in found if any(n.partition(".")[0] == wanted for n in x[0])]
         if inside:
-            found = inside
-            break
-    else:
-        found = [x for x in found if not x[2]]  # without such an element, a block of links alone is a menu
+            return inside
+    return [x for x in found if not x[2]]  # without such an element, a block of links alone is a menu
+
+
+def main_text(html: str, constant: set[tuple[str, int]]) -> str:
+    """Blocks that aren't template and stand where articles stand."""
+    found = candidates(blocks(html))
     if constant:
         found = [x for x in found if ("".join(f"\t{n}" for n in x[0]), _hash(x[1])) not in constant]
     return "\n".join(t for _, t, _ in found)
@@ -257,8 +265,10 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     """``(page_id, url, text, n_chars)`` per row of ``pages``: the main text, blocks joined by a line feed.
 
     Null and empty pages have an empty text; null or odd urls are one host of their own name; repeated rows keep a row each
-    (and count as pages each); ids may be null; extra columns are ignored; no pages give no rows. Character references
-    are decoded and white space inside a block is one space. A host with under three pages has no template.
+    (copies of an article count as one page of the host); ids may be null; extra columns are ignored; no pages give no rows. Character references
+    are decoded and white space inside a block is one space. A host with under three
+    different articles has no template. Where no <article> or <main> tells them apart, boilerplate between the paragraphs is
+    part of what makes articles different.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     url = pages[url_col].cast("string")
