@@ -15,7 +15,8 @@ mostly share it, which makes one row of about 100 strings. What follows works on
    share the whole stretch they cover are repeated; cells whose common core no other has are not.
 4. What is left, the cells at the ends of repeats, is refined to its 400-byte buckets; those of two classes are repeats.
 
-Every grouping is an aggregation that combines before the shuffle; nothing is gathered per bucket.
+Every grouping is an aggregation that combines before the shuffle; nothing is gathered per bucket. Texts of any length are
+read in stretches of STRETCH bytes that overlap by LENGTH - 1, so identifiers take a bounded amount of memory.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ LENGTH = 400
 HALF = LENGTH // 2
 #: Buckets of 8 bytes are refined to 16, 25, 50, 100, 200 and 400 bytes by those at these later offsets.
 OFFSETS = (8, 9, 25, 50, 100, 200)
-PLACE_BITS = 26
+STRETCH = 1 << 24  # bytes that are worked on at once
+PLACE_BITS = 25  # number the places of a stretch; the same for all, so that ties between identifiers end alike everywhere
 CELL = 25  # of neighbouring strings that are settled together
 BITMAP = 1 << 25
 HOT = 1024  # keys with over 1 / HOT of all rows are fewer than HOT; their rows are dealt over SALTS places
@@ -81,6 +83,17 @@ def _blend(*parts: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _at(data: np.ndarray, lane: int, stretch: int, halves: list[np.ndarray], wholes: list[np.ndarray]) -> list[np.ndarray]:
+    """The lane's identifiers of HALF bytes at each array of places in ``halves``, then those of LENGTH bytes at ``wholes``."""
+    out = [np.zeros(len(x), np.uint64) for x in (*halves, *wholes)]
+    for k in range(0, len(data), stretch):
+        half, whole = _lanes(data[k : k + stretch + LENGTH - 1], lane)
+        for x, (ident, places) in zip(out, [*((half, p) for p in halves), *((whole, p) for p in wholes)], strict=True):
+            here = slice(None) if len(data) <= stretch else np.flatnonzero((places >= k) & (places < k + stretch))
+            x[here] = ident[places[here] - k]
+    return out
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Anchors of texts that stand one after another in ``data``: text, first and number of the strings that share the
     anchor (from the text's begin), how far behind the first the anchor is, and identifiers of the anchor and the span."""
@@ -110,11 +123,21 @@ def _joined(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 1 << 19):
-        if found := anchors(*_joined(part)):
-            at = pa.array(found["text"])
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), *(pa.array(found[c].astype(np.int32)) for c in ("first", "n", "lead")), *(pa.array(found[c].view(np.int64)) for c in ("a", "s"))], names=["id", "tk", "first", "n", "lead", "a", "s"])
+def _find(stretch: int):
+    """Anchors of all texts. Where a text goes on in a next stretch, a span that both hold comes as two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", min(stretch, 1 << 19)):
+            data, ends = _joined(part)
+            cut = len(data) > stretch  # then the part is one text
+            for k in range(0, len(data), stretch) if cut else (0,):
+                piece = data[k : k + stretch + LENGTH - 1] if cut else data
+                if found := anchors(piece, np.array([len(piece)]) if cut else ends):
+                    found["first"] = found["first"] + k
+                    at = pa.array(found["text"])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), *(pa.array(found[c].astype(np.int32)) for c in ("first", "n", "lead")), *(pa.array(found[c].view(np.int64)) for c in ("a", "s"))], names=["id", "tk", "first", "n", "lead", "a", "s"])
+
+    return run
 
 
 def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -129,39 +152,47 @@ def _listed(part: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, .
     return row, *(np.array([s[c] for x in spans for s in x], np.int64) for c in names)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(stretch: int):
     """Cells of the listed spans: CELL strings by their distance before the anchor, whole where the text allows it. All of
     a cell's strings hold its core, and its cover holds them all."""
-    for part in slices(batches, "text", 1 << 19):
-        data, ends = _joined(part)
-        (half, _), (_, whole) = _lanes(data, 0), _lanes(data, 1)
-        row, first, n, lead, cls = _listed(part, ("first", "n", "lead", "cls"))
-        least, most = (lead - n + 1) // CELL, lead // CELL
-        k = most - least + 1
-        cell = _runs(least, k)
-        row, anchor, cls = (np.repeat(x, k) for x in (row, first + lead, cls))
-        base = (ends - np.diff(ends, prepend=0))[row]
-        size = np.diff(ends, prepend=0)[row]
-        high, low = anchor - cell * CELL, anchor - cell * CELL - CELL + 1
-        a, b = np.maximum(low, 0), np.minimum(high, size - LENGTH)
-        full = (a == low) & (b == high)
-        core = _blend(half[base + high], half[base + high + LENGTH - CELL + 1 - HALF])
-        cover = _blend(np.where(full, whole[base + a], cls.astype(np.uint64)), np.where(full, whole[base + b], a.astype(np.uint64)), full)
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(a.astype(np.int32)), pa.array((b - a + 1).astype(np.int32)), pa.array(full), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], names=["id", "tk", "first", "n", "full", "core", "cover"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 19):
+            data, ends = _joined(part)
+            row, first, n, lead, cls = _listed(part, ("first", "n", "lead", "cls"))
+            least, most = (lead - n + 1) // CELL, lead // CELL
+            k = most - least + 1
+            cell = _runs(least, k)
+            row, anchor, cls = (np.repeat(x, k) for x in (row, first + lead, cls))
+            base = (ends - np.diff(ends, prepend=0))[row]
+            size = np.diff(ends, prepend=0)[row]
+            high, low = anchor - cell * CELL, anchor - cell * CELL - CELL + 1
+            a, b = np.maximum(low, 0), np.minimum(high, size - LENGTH)
+            full = (a == low) & (b == high)
+            core = _blend(*_at(data, 0, stretch, [base + high, base + high + LENGTH - CELL + 1 - HALF], []))
+            begin, end = _at(data, 1, stretch, [], [base + a, base + b])
+            cover = _blend(np.where(full, begin, cls.astype(np.uint64)), np.where(full, end, a.astype(np.uint64)), full)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(a.astype(np.int32)), pa.array((b - a + 1).astype(np.int32)), pa.array(full), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], names=["id", "tk", "first", "n", "full", "core", "cover"])
+
+    return run
+
+
+def _strings(stretch: int):
     """Identifiers of every string of the listed spans."""
-    for part in slices(batches, "text", 1 << 19):
-        data, ends = _joined(part)
-        one, two = _lanes(data, 0)[1], _lanes(data, 1)[1]
-        row, first, n = _listed(part, ("first", "n"))
-        start = _runs(first, n)
-        row = np.repeat(row, n)
-        place = (ends - np.diff(ends, prepend=0))[row] + start
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(start.astype(np.int32)), pa.array(one[place].view(np.int64)), pa.array(two[place].view(np.int64))], names=["id", "tk", "first", "w1", "w2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 19):
+            data, ends = _joined(part)
+            row, first, n = _listed(part, ("first", "n"))
+            start = _runs(first, n)
+            row = np.repeat(row, n)
+            place = (ends - np.diff(ends, prepend=0))[row] + start
+            one, two = (_at(data, lane, stretch, [], [place])[0] for lane in (0, 1))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("tk").take(at), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "tk", "first", "w1", "w2"])
+
+    return run
 
 
 def _cut(keep_text: bool):
@@ -220,7 +251,7 @@ def _spread(rows: DataFrame, keys: DataFrame, on: list[str], load: str, total: i
     return salted.join(places, [*on, "salt"]).select(*rows.columns)
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, stretch: int = STRETCH) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` per row of ``docs``: every byte covered by a LENGTH-byte
     string that also starts anywhere else is removed; strings are judged on the input, and overlaps count. ``kept`` is
     null unless ``keep_text``.
@@ -233,8 +264,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text, context = text_of(docs, text_col), docs.sparkSession.sparkContext
-    source = docs.select(docs[id_col].alias("id"), F.hash(text).alias("tk"), F.xxhash64(docs[id_col], F.hash(text)).alias("key"), text.alias("text"))
-    found = settle(source.select("id", "tk", "text").mapInArrow(_find, f"id {kind}, tk int, first int, n int, lead int, a long, s long"), "anchors")
+    source = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("tk"), F.xxhash64(docs[id_col], F.xxhash64(text)).alias("key"), text.alias("text"))
+    found = settle(source.select("id", "tk", "text").mapInArrow(_find(stretch), f"id {kind}, tk long, first int, n int, lead int, a long, s long"), "anchors")
     shared = settle(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
     maybe = _with_bit(found, "a", context.broadcast(_bitmap(shared.select(F.col("a").alias("key")))), True)
     mine = settle(_spread(maybe, shared, ["a"], "k", found.count()).distinct(), "shared-anchors")
@@ -251,14 +282,14 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = context.broadcast(_bitmap(touched.select(F.xxhash64("id", "tk").alias("key"))))
     texts = settle(_with_bit(source, "key", marks, True).select("id", "tk", "text"), "touched")
     listed = texts.join(of(split, "first", "n", "lead", "cls"), same).select("id", "tk", "text", "spans")
-    cells = settle(listed.mapInArrow(_cells, f"id {kind}, tk int, first int, n int, full boolean, core long, cover long").distinct(), "cells")
+    cells = settle(listed.mapInArrow(_cells(stretch), f"id {kind}, tk long, first int, n int, full boolean, core long, cover long").distinct(), "cells")
     covers = cells.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first", "n")).alias("rep"))
     covers = settle(covers, "covers")
     mixed = covers.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
     accepted = cells.join(covers.where("members > 1").select("core", "cover"), ["core", "cover"]).where("full").select("id", "tk", "first", "n")
     rest = covers.join(mixed, "core").select("rep.*")
     listed = texts.join(of(rest, "first", "n"), same).select("id", "tk", "text", "spans")
-    strings = settle(listed.mapInArrow(_strings, f"id {kind}, tk int, first int, w1 long, w2 long"), "strings")
+    strings = settle(listed.mapInArrow(_strings(stretch), f"id {kind}, tk long, first int, w1 long, w2 long"), "strings")
     place = F.struct("id", "tk", "first")  # cells of one text may overlap, so a string may come twice from one place
     twice = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("NOT x <=> y").select("w1", "w2")
     single = strings.join(twice, ["w1", "w2"]).select("id", "tk", "first", F.lit(1).alias("n"))
