@@ -8,8 +8,12 @@ that share a key are candidates, and each candidate is verified by an exact edit
 Items are keyed at their first words and at places along their whole length, document windows wherever they begin, also
 up to an item's edits before the text. A window can only hold an item's stretch if it has enough of the benchmark's word
 pairs (an edit spoils two at most), so windows below that count are left out before the walks: this filter loses nothing,
-what is missed is missed by the walks alone. The pairs are held in a bitmap of fixed size. Windows carry their own words
-to the verification, so texts are never shuffled.
+what is missed is missed by the walks alone. A second bitmap of the items' keys leaves out keys that no item has. What
+passes is settled once, with the words around it; the join is on keys alone and fetches the words of the candidates.
+
+How many walks: a walk's ``bits`` samples agree for a stretch with the most edits allowed with a chance p of about 0.1, so
+``repeats`` walks miss a window with (1 - p) ** repeats; 64 walks of 3 bits give a recall of 0.95 and more at the allowed
+edits (tests measure it by kind of edit and length).
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, table, text_of
+from .shared import bitmap, bits_at, settle, slices, table, text_of
 
-LEAST_WORDS, MOST_WINDOW = 5, 256
-BITMAP = 1 << 22
+MOST_WINDOW = 256
+BITMAP, KEY_BITMAP = 1 << 22, 1 << 25
 #: Window sizes in words: an item belongs to the largest that it reaches.
-SIZES = [5, 6, 8, 10, 12, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128, 160, 200, MOST_WINDOW]
+SIZES = [1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128, 160, 200, MOST_WINDOW]
 
 
 def edits_allowed(words: int, similarity: float) -> int:
@@ -83,8 +87,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix((run[end] - run[begin]) * down[begin]), np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(raw)).astype(np.int64)
 
 
-def pair_slots(hashes: np.ndarray) -> np.ndarray:
-    return (_mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(BITMAP - 1)).astype(np.int64)
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    return _mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """In place of pairs, for items of one word."""
+    return _mix(hashes * np.uint64(5))
 
 
 @lru_cache(maxsize=64)
@@ -147,19 +156,19 @@ def best_match(item: list[str], window: list[str]) -> tuple[int, int]:
 
 
 def _items(items: DataFrame, id_col: str, text_col: str, similarity: float, repeats: int, bits: int) -> DataFrame:
-    """``(item_id, size, words, spoil, kind, value)``: of each item its LSH keys (kind 1) and its word pairs' slots (kind 0)."""
+    """``(item_id, size, words, spoil, kind, value)``: of each item its LSH keys (kind 1) and its word pairs (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 words = normal(text)
-                if len(words) < LEAST_WORDS:
+                if not words:
                     continue
                 size = max(s for s in SIZES if s <= len(words))
                 h, _ = word_hashes([text])
                 own = i, size, len(words), stretch_edits(len(words), size, similarity)
-                rows += [(*own, 0, int(x)) for x in np.unique(pair_slots(h))]
+                rows += [(*own, 0, x) for x in np.unique((pair_keys(h) if size > 1 else word_keys(h)).view(np.int64)).tolist()]
                 starts = np.array(item_places(len(words), size))
                 for k in range(0, len(starts), 2048):
                     some = starts[k : k + 2048]
@@ -173,32 +182,38 @@ def _items(items: DataFrame, id_col: str, text_col: str, similarity: float, repe
     return items.select(items[id_col].alias("id"), text_of(items, text_col).alias("text")).mapInArrow(run, f"item_id {kind}, size long, words long, spoil long, kind long, value long")
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, known, classes, similarity: float, repeats: int, bits: int) -> DataFrame:
-    """``(doc_id, tk, start, words, keys)``: the LSH keys of windows that may hold an item's stretch, and the words from
-    ``start`` on of any item around them."""
+def _windows(docs: DataFrame, id_col: str, text_col: str, known, keyed, classes, similarity: float, repeats: int, bits: int) -> DataFrame:
+    """``(doc_id, tk, start, words, keys)``: the LSH keys, shared with an item as far as the bitmap tells, of windows that may
+    hold an item's stretch, and the words from ``start`` on of any item around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(known.value, np.uint8))
+        pairs, item_keys = np.frombuffer(known.value, np.uint64), np.frombuffer(keyed.value, np.uint64)
         for part in slices(batches, "text", 4 << 20):
             texts = part.column("text").to_pylist()
             h, counts = word_hashes(texts)
-            if len(h) < LEAST_WORDS:
+            if not len(h) or not classes:
                 continue
             ends = np.cumsum(counts)
-            hit = np.append(bitmap[pair_slots(h)], 0).astype(np.int32)
+            hit = np.append(bits_at(pairs, pair_keys(h)), False).astype(np.int32)
             hit[ends[counts > 0] - 1] = 0  # pairs that span two texts
             total = np.concatenate([[0], np.cumsum(hit)])
             begins = ends - counts
             found: dict[tuple, set] = {}
             for size, most, spoil in classes:
-                doc, opens = window_starts(total, begins, ends, size, spoil)
+                if size > 1:
+                    doc, opens = window_starts(total, begins, ends, size, spoil)
+                else:
+                    opens = np.flatnonzero(bits_at(pairs, word_keys(h)))
+                    doc = np.searchsorted(ends, opens, side="right")
                 spare = edits_allowed(most, similarity) + 2
                 for k in range(0, len(opens), 2048):
                     d, s = doc[k : k + 2048], opens[k : k + 2048]
                     keys = cgk_keys(windows_at(h, s, begins[d], ends[d], size), size, repeats, bits)
-                    for x, at, row in zip(d.tolist(), ((s - begins[d]) // spare * spare).tolist(), keys.view(np.int64).tolist(), strict=True):
-                        # windows that begin close together share one stretch of text, and its verification
-                        found.setdefault((x, at, most, size, spare), set()).update(row)
+                    i, r = np.nonzero(bits_at(item_keys, keys))
+                    # windows that begin close together share one stretch of text, and its verification
+                    near = ((s - begins[d]) // spare * spare)[i]
+                    for x, at, key in zip(d[i].tolist(), near.tolist(), keys[i, r].view(np.int64).tolist(), strict=True):
+                        found.setdefault((x, at, most, size, spare), set()).add(key)
             rows, last, words = [], -1, []
             for (d, first, most, size, spare), keys in sorted(found.items(), key=lambda x: x[0][0]):
                 if d != last:
@@ -215,15 +230,28 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, known, classes, simila
     return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("tk")).mapInArrow(run, f"doc_id {kind}, tk long, start long, words string, keys array<long>")
 
 
+def compare(item: list[str], window: list[str], most: int) -> tuple[int, int] | None:
+    """As :func:`best_match` where that needs at most ``most`` edits; what is plain without it comes first."""
+    near = set(window)
+    if sum(w not in near for w in item) > most:
+        return None
+    joined = f" {' '.join(window)} "
+    at = joined.find(f" {' '.join(item)} ")
+    if at >= 0:
+        return 0, joined.count(" ", 0, at) + len(item)
+    edits, stop = best_match(item, window)
+    return (edits, stop) if edits <= most else None
+
+
 def _verify(similarity: float, item_kind: str, doc_kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, (start, window, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "words", "item")), strict=True)):
                 words = normal(item)
-                edits, stop = best_match(words, window.split(" "))
-                if edits <= edits_allowed(len(words), similarity):
-                    rows.append((i, start + stop, edits, 1 - edits / len(words)))
+                match = compare(words, window.split(" "), edits_allowed(len(words), similarity))
+                if match:
+                    rows.append((i, start + match[1], match[0], 1 - match[0] / len(words)))
             if rows:
                 at, stop, edits, like = zip(*rows, strict=True)
                 take = pa.array(at, pa.int64())
@@ -232,27 +260,26 @@ def _verify(similarity: float, item_kind: str, doc_kind: str):
     return run, f"doc_id {doc_kind}, tk long, item_id {item_kind}, end_word long, edits long, similarity double"
 
 
-def benchmark_matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repeats: int = 24, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def benchmark_matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, repeats: int = 64, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: ``(doc_id, tk, item_id, edits, similarity, end_word)`` of the best
     place (least edits, then the first); tk is the hash of the document's text.
 
     Texts are compared in lower case, word by word; a place counts if at most ``1 - similarity`` of the item's words are
-    edited. Items under LEAST_WORDS words identify nothing and match nothing; null texts are empty. Repeated items and
-    documents each count once per id; null ids match like others. Extra columns are ignored. Either table may be empty.
+    edited, so items under five words are compared exactly; items without words match nothing; null texts are empty.
+    Repeated items and documents each count once per id; null ids match like others. Extra columns are ignored. Either table may be empty.
     """
-    spark = docs.sparkSession
-    parts = _items(items, id_col=item_col, text_col=item_text, similarity=similarity, repeats=repeats, bits=bits)
-    # one row for each size class and one for each slot of the bitmap at most, however large the benchmark is
-    marks = parts.where("kind = 0").select("value").distinct()
-    bitmap = np.zeros(BITMAP, np.uint8)
-    for row in marks.toLocalIterator():
-        bitmap[row["value"]] = 1
-    known = spark.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+    context = docs.sparkSession.sparkContext
+    parts = settle(_items(items, id_col=item_col, text_col=item_text, similarity=similarity, repeats=repeats, bits=bits), "item-keys")
+    of = lambda kind, size: context.broadcast(bitmap(parts.where(F.col("kind") == kind).select(F.col("value").alias("key")), size))
+    # one row for each size class
     classes = [(r["size"], r["most"], r["spoil"]) for r in parts.groupBy("size").agg(F.max("words").alias("most"), F.max("spoil").alias("spoil")).collect()]
-    windows = _windows(docs, id_col, text_col, known, sorted(classes), similarity, repeats, bits)
-    keyed = windows.select("doc_id", "tk", "start", "words", F.explode("keys").alias("key"))
+    found = _windows(docs, id_col, text_col, of(0, BITMAP), of(1, KEY_BITMAP), sorted(classes), similarity, repeats, bits)
+    windows = settle(found.withColumn("wk", F.xxhash64("words")), "windows")
+    keyed = windows.select("doc_id", "tk", "start", "wk", F.explode("keys").alias("key"))
     keys = parts.where("kind = 1").select("item_id", F.col("value").alias("key")).distinct()
-    candidates = keyed.join(keys, "key").select("doc_id", "tk", "start", "words", "item_id").distinct()
+    hits = keyed.join(keys, "key").select(F.col("doc_id").alias("d2"), F.col("tk").alias("t2"), F.col("start").alias("s2"), F.col("wk").alias("w2"), "item_id").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tk") == F.col("t2")) & (F.col("start") == F.col("s2")) & (F.col("wk") == F.col("w2"))
+    candidates = windows.dropDuplicates(["doc_id", "tk", "start", "wk"]).join(hits, same).select("doc_id", "tk", "start", "words", "item_id")
     texts = items.select(items[item_col].alias("item"), text_of(items, item_text).alias("text")).distinct()
     both = candidates.join(texts, candidates["item_id"].eqNullSafe(texts["item"])).select("doc_id", "tk", "item_id", "start", "words", F.col("text").alias("item"))
     run, schema = _verify(similarity, items.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString())

@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks
+    run on this machine."""
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return folder
 
@@ -71,6 +74,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
             at = to
 
 
+def bitmap(keys: DataFrame, bits: int) -> bytes:
+    """``bits`` bits (a power of two), set at each ``key`` modulo ``bits``; it is built and sent as bits / 64 numbers at
+    most, however many keys there are. Bit k is that of word k div 64 with the value 1 << (k mod 64)."""
+    words = keys.selectExpr(f"pmod(key, {bits}) div 64 AS word", "shiftleft(1L, CAST(pmod(key, 64) AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def bits_at(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key (as 64-bit numbers of any sign) is set in ``bitmap`` (uint64 words)."""
+    slot = keys.view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 class WordTable(dict):
     """Numbers the distinct words of a task's texts, so that what a word alone decides is computed once.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, slices, table, text_of
+from .shared import bitmap, bits_at, settle, slices, table, text_of
 
 LENGTH = 400
 HALF = LENGTH // 2
@@ -215,23 +215,13 @@ def _cut(keep_text: bool):
     return run
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """BITMAP bits, set at each ``key``; it is built and sent as BITMAP / 64 numbers at most, however many keys there are."""
-    words = keys.selectExpr(f"pmod(key, {BITMAP}) div 64 AS word", "shiftleft(1L, CAST(pmod(key, 64) AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(BITMAP // 64, np.int64)
-    for batch in words.toArrow().to_batches():
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    return out.tobytes()
-
-
-def _with_bit(df: DataFrame, key: str, bitmap, wanted: bool) -> DataFrame:
+def _with_bit(df: DataFrame, key: str, held, wanted: bool) -> DataFrame:
     """Rows of ``df`` whose ``key`` has its bit set (or not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint64)
+        bits = np.frombuffer(held.value, np.uint64)
         for batch in batches:
-            slot = np.mod(batch.column(key).to_numpy(zero_copy_only=False), BITMAP)
-            hit = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            hit = bits_at(bits, batch.column(key).to_numpy(zero_copy_only=False))
             if (hit == wanted).any():
                 yield batch.filter(pa.array(hit == wanted))
 
@@ -267,7 +257,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("tk"), F.xxhash64(docs[id_col], F.xxhash64(text)).alias("key"), text.alias("text"))
     found = settle(source.select("id", "tk", "text").mapInArrow(_find(stretch), f"id {kind}, tk long, first int, n int, lead int, a long, s long"), "anchors")
     shared = settle(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
-    maybe = _with_bit(found, "a", context.broadcast(_bitmap(shared.select(F.col("a").alias("key")))), True)
+    maybe = _with_bit(found, "a", context.broadcast(bitmap(shared.select(F.col("a").alias("key")), BITMAP)), True)
     mine = settle(_spread(maybe, shared, ["a"], "k", found.count()).distinct(), "shared-anchors")
     span = ["a", "lead", "n", "s"]
     classes = settle(mine.groupBy(*span).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first")).alias("rep")), "classes")
@@ -279,7 +269,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2"))
     of = lambda rows, *fields: rows.groupBy("id", "tk").agg(F.collect_list(F.struct(*fields)).alias("spans")).withColumnsRenamed(other)
     touched = whole.select("id", "tk").union(split.select("id", "tk")).distinct()
-    marks = context.broadcast(_bitmap(touched.select(F.xxhash64("id", "tk").alias("key"))))
+    marks = context.broadcast(bitmap(touched.select(F.xxhash64("id", "tk").alias("key")), BITMAP))
     texts = settle(_with_bit(source, "key", marks, True).select("id", "tk", "text"), "touched")
     listed = texts.join(of(split, "first", "n", "lead", "cls"), same).select("id", "tk", "text", "spans")
     cells = settle(listed.mapInArrow(_cells(stretch), f"id {kind}, tk long, first int, n int, full boolean, core long, cover long").distinct(), "cells")

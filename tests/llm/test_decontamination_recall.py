@@ -7,11 +7,16 @@ import pytest
 
 from sievewright.llm import decontaminate
 
-SIZES = [16, 20, 50, 59, 100, 300]
+SIZES = [5, 10, 16, 20, 50, 59, 100, 200, 300]
 
 
-def changed(words, how, where, share, fresh):
+def changed(words, how, where, share, fresh, rng):
     n = int(share * len(words))
+    if where == "spread":
+        out = list(words)
+        for at in sorted(rng.sample(range(len(words)), n), reverse=True):
+            out[at : at + 1] = [fresh()] if how == "edit" else rng.choice(([], [out[at], fresh()]))
+        return out
     at = {"head": 0, "middle": (len(words) - n) // 2, "tail": len(words) - n}[where]
     return words[:at] + ([fresh() for _ in range(n)] if how == "edit" else []) + words[at + n :]
 
@@ -25,9 +30,9 @@ def passages(trials, share):
             item = [fresh() for _ in range(size)]
             items.append((len(items), " ".join(item)))
             for how in ("edit", "cut"):
-                for where in ("head", "middle", "tail"):
+                for where in ("head", "middle", "tail", "spread"):
                     for before, behind in ((40, 40), (0, 40), (40, 0)):
-                        text = [fresh() for _ in range(before)] + changed(item, how, where, share, fresh) + [fresh() for _ in range(behind)]
+                        text = [fresh() for _ in range(before)] + changed(item, how, where, share, fresh, rng) + [fresh() for _ in range(behind)]
                         want[len(docs), len(items) - 1] = size, how, where, before > 0, behind > 0
                         docs.append((len(docs), " ".join(text)))
     return docs, items, want
@@ -44,13 +49,13 @@ def recall(spark, trials, share):
     return found, want
 
 
-@pytest.mark.parametrize(("share", "least"), [(0.1, 0.9), (0.2, 0.5)])
+@pytest.mark.parametrize(("share", "least"), [(0.1, 0.95), (0.2, 0.95)])
 def test_edited_and_cut_items(spark, share, least):
     found, want = recall(spark, 3, share)
     of, hit = Counter(v[1:3] for v in want.values()), Counter(want[k][1:3] for k in found)
     shares = {k: hit[k] / of[k] for k in of}
-    print(shares, {s: sum(want[k][0] == s for k in found) / sum(v[0] == s for v in want.values()) for s in SIZES})
-    assert min(shares.values()) >= least, shares
+    by_size = {s: sum(want[k][0] == s for k in found) / sum(v[0] == s for v in want.values()) for s in SIZES}
+    assert min(shares.values()) >= least and min(by_size.values()) >= least, (shares, by_size)
 
 
 def test_long_item_edited_at_its_head(spark):
@@ -60,3 +65,10 @@ def test_long_item_edited_at_its_head(spark):
     docs = spark.createDataFrame([(1, text), (2, " ".join(words[200:])), (3, " ".join(words[201:]))], "doc_id long, text string")
     rows = decontaminate.benchmark_matches(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["edits"]) for r in rows} == {(1, 200), (2, 200)}
+
+
+def test_short_items_are_compared_exactly(spark):
+    items = spark.createDataFrame([(1, "zebra"), (2, "two words"), (3, "one two three four"), (4, " ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a Zebra ran"), (2, "zebras ran two, words"), (3, "two  WORDS"), (4, "x one two three four"), (5, "one two three"), (6, "words two")], "doc_id long, text string")
+    rows = decontaminate.benchmark_matches(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"], r["end_word"]) for r in rows} == {(1, 1, 0, 2), (3, 2, 0, 2), (4, 3, 0, 5)}
