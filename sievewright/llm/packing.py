@@ -2,9 +2,10 @@
 
 Texts are tokenized once, in place; what is shuffled are pieces, a few integers each. Pieces are dealt by hash into groups
 of about ``group_size``, each packed by best-fit decreasing. Dual feasible functions give a lower bound for the number
-of bins of any packing of the group, so a group that meets its bound is certified optimal and final. A group with a gap
-gives up its least filled bins; their pieces meet those of 15 other groups in the next round and are packed again,
-until one group is left.
+of bins of any packing of the group, so a group that meets its bound is certified optimal; of its bins only the emptiest
+goes on. A group with a gap gives up its least filled bins, up to a FAN-th of its pieces. What is given up meets that of
+FAN - 1 other groups in the next round and is packed again, until one group is left. So no group of any round has many
+more than ``group_size`` pieces, whatever the lengths, and each round has a FAN-th of the last one's pieces at most.
 """
 
 from __future__ import annotations
@@ -159,20 +160,26 @@ def bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack(capacity: int, level: int, last: bool):
+def given_up(which: np.ndarray, room: np.ndarray, gap: int, most: int) -> np.ndarray:
+    """Bins that are opened again, the emptiest first: one where the group meets its bound, else as many as hold ``most``
+    pieces. Full bins stay."""
+    order = np.argsort(-room, kind="stable")
+    pieces = np.cumsum(np.bincount(which, minlength=len(room))[order])
+    some = order[: max(1, int(np.searchsorted(pieces, most, side="right"))) if gap else 1]
+    out = np.zeros(len(room), bool)
+    out[some[room[some] > 0]] = True
+    return out
+
+
+def _pack(capacity: int, level: int, last: bool, most: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         lengths = group["length"].to_numpy()
         which, offset, bins = best_fit_decreasing(lengths.tolist(), capacity)
-        gap = bins - bound(lengths, capacity)
-        open_bins = np.zeros(bins, bool)
-        if gap and not last:
-            free = capacity - np.bincount(which, lengths, bins).astype(np.int64)
-            order = np.argsort(-free, kind="stable")
-            need = int(np.searchsorted(np.cumsum(free[order]), (gap + 1) * capacity)) + 1
-            open_bins[order[:need]] = True
+        room = capacity - np.bincount(which, lengths, bins).astype(np.int64)
+        again = np.zeros(bins, bool) if last else given_up(which, room, bins - bound(lengths, capacity), most)
         group["sequence_id"] = (np.int64(level) << 58) | (np.int64(key[0]) << 30) | which
-        group["offset"], group["again"] = offset, open_bins[which]
+        group["offset"], group["again"] = offset, again[which]
         return group
 
     return run
@@ -184,11 +191,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_size: int = 4096)
     kind = pieces.schema["id"].dataType.simpleString()
     base = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     groups = max(1, -(-pieces.count() // group_size))
-    now = pieces.withColumn("g", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    # rows that are equal in all fields are dealt apart by where they stand in the stored table
+    dealt = F.xxhash64("id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())
+    now = pieces.withColumn("g", F.pmod(dealt, F.lit(groups)))
     done, level = None, 0
     while True:
         last = groups == 1
-        packed = now.groupBy("g").applyInPandas(_pack(capacity, level, last), f"{base}, g long, sequence_id long, offset long, again boolean")
+        packed = now.groupBy("g").applyInPandas(_pack(capacity, level, last, group_size // FAN), f"{base}, g long, sequence_id long, offset long, again boolean")
         packed = settle(packed, "packed")
         final = packed.where("NOT again").select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
         done = final if done is None else done.union(final)
