@@ -2,7 +2,7 @@
 
 A document's features are its words, the words' character n-grams and its word bigrams, hashed into tables of vectors.
 The vectors are averaged per document and a softmax layer gives the classes; all is trained by stochastic gradient
-descent in numpy, on a bounded sample of labelled documents (``max_train``, a parameter). Bigrams are hashed by the
+descent in numpy, on a bounded sample of labelled documents (``max_train`` and ``max_features``, parameters). Bigrams are hashed by the
 words' shapes and by whether the two words are equal, so that they say how text is written rather than what about.
 
 Averaging and the last layer are linear, so after training each feature is one number and a word is the sum of its
@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, hash32, segment_sums, slices, table, text_of
+from .shared import Growing, WordTable, hash32, segment_sums, settle, slices, table, text_of
 
 WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 17, 1 << 14, 1 << 12
 
@@ -94,11 +94,14 @@ def features(text: str, known: dict | None = None) -> tuple[np.ndarray, np.ndarr
     return ids, np.bincount(inverse, shares)
 
 
-def train(texts: list[str], labels: list[int], dim: int = 6, epochs: int = 5, rate: float = 6.0, seed: int = 1) -> Model:
-    """SGD over single documents, in an order that ``seed`` fixes, the rate falling to 0."""
-    rng = np.random.default_rng(seed)
+def train(texts: list[str], labels: list[int], **how) -> Model:
     known: dict = {}
-    rows = [(*features(t, known), int(y)) for t, y in zip(texts, labels, strict=True)]
+    return train_on([(*features(t, known), int(y)) for t, y in zip(texts, labels, strict=True)], **how)
+
+
+def train_on(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 6, epochs: int = 5, rate: float = 6.0, seed: int = 1) -> Model:
+    """SGD over single documents ``(buckets, shares, label)``, in an order that ``seed`` fixes, the rate falling to 0."""
+    rng = np.random.default_rng(seed)
     rows = [r for r in rows if len(r[0])]
     table_ = rng.uniform(-1 / dim, 1 / dim, (WORD_BUCKETS + PAIR_BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
@@ -157,13 +160,32 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total + self.model.bias, -50, 50)))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_train: int = 2400) -> Model:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict = {}
+    for part in slices(batches, "text"):
+        if len(known) > 100_000:
+            known.clear()
+        found = [features(x, known) for x in part.column("text").to_pylist()]
+        ids, share = ([np.ascontiguousarray(x, kind).tobytes() for x in xs] for xs, kind in zip(zip(*found, strict=True), ("<i4", "<f4"), strict=True))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(ids, pa.binary()), pa.array(share, pa.binary())], names=["doc_id", "label", "ids", "shares"])
+
+
+def fit(docs: DataFrame, labelled: DataFrame, max_train: int = 2400, max_features: int = 20_000_000) -> Model:
     """A model from at most ``max_train`` rows of ``labelled(doc_id, label)``, the first by a hash of the id. Null labels
-    and ids don't count, an id with several labels has its largest. Without any labelled text every score is 0.5."""
-    chosen = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
-    rows = sorted((r["text"], int(r["label"])) for r in rows)
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    and ids don't count, an id with several labels has its largest, one with several texts the least. Without any labelled
+    text every score is 0.5.
+
+    The tasks turn texts into features, so that the driver gets 8 bytes for each distinct feature of a text and no text;
+    of the chosen rows only as many are trained on, in the same order, as have ``max_features`` of them together.
+    """
+    place = F.struct(F.xxhash64("doc_id"), "doc_id")
+    chosen = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(place).limit(max_train)
+    texts = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = settle(texts.mapInArrow(_featured, f"doc_id {kind}, label int, ids binary, shares binary"), "features")
+    sizes = found.select("doc_id", F.sum(F.octet_length("ids") / 4).over(Window.orderBy(place)).alias("total"))  # max_train rows
+    rows = found.join(F.broadcast(sizes.where(F.col("total") <= max_features)), "doc_id").orderBy(place).select("label", "ids", "shares").collect()
+    return train_on([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4"), r["label"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
