@@ -8,14 +8,16 @@
    with |d(x, p) - d(y, p)| > 4 for some pivot can't be a link; the maximum over all pivots discards pairs, and what
    survives is verified. Links are followed breadth first and a fingerprint that is reached leaves the set that is
    compared, so a dense group costs about its size and yields a forest, not all its pairs.
-4. Keys with more than ``cell`` classes go through as rows, get dealt into cells of that size, and every two cells of a
-   key meet in a task of their own.
+4. Keys with more than ``cell`` classes go through as rows and are split by the bits that their key leaves open: these are
+   cut into 6 blocks, of which two agree at least, so 15 finer keys hold every link. What is still large is split again;
+   rows grow by 15 a level and never with the square of a key's size, and the third level leaves at most 2^13 fingerprints a key.
 5. Connected components over the forests give the classes' smallest document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +31,9 @@ from .shared import settle, slices, table, text_of
 BLOCKS = 7
 AGREE = 3
 MOST = 4
+SPLIT, SPLIT_AGREE = 6, 2
+LEVELS = 3
+PATH_BITS = 6, 20  # of a key, that tell its mask: at the first level, at finer ones
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -70,6 +75,44 @@ def block_masks() -> list[int]:
     return [int(np.uint64(sum(c)).astype(np.int64)) for c in combinations(block, AGREE)]
 
 
+def finer_masks(mask: int) -> list[int]:
+    """``mask`` and every choice of SPLIT_AGREE of the SPLIT blocks into which it leaves the other bits, unsigned."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(free) * k / SPLIT) for k in range(SPLIT + 1)]
+    block = [sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+    return [mask | sum(c) for c in combinations(block, SPLIT_AGREE)]
+
+
+@lru_cache(maxsize=1 << 12)
+def mask_at(level: int, path: int) -> int:
+    """The mask of a key by its path: which choice of blocks, then which finer one at each level."""
+    if not level:
+        return block_masks()[path] & (1 << 64) - 1
+    width = len(list(combinations(range(SPLIT), SPLIT_AGREE)))
+    return finer_masks(mask_at(level - 1, path // width))[path % width]
+
+
+def _finer(level: int):
+    """Keys of ``level`` for rows (key, fp) of the level before."""
+    width, before = len(list(combinations(range(SPLIT), SPLIT_AGREE))), PATH_BITS[level > 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            path = key & np.uint64((1 << before) - 1)
+            for p in np.unique(path).tolist():
+                f, old = fp[path == p], key[path == p]
+                for c in range(width):
+                    held = f & np.uint64(mask_at(level, p * width + c))
+                    mixed = (held ^ (held >> np.uint64(31)) ^ old) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    finer = mixed >> np.uint64(PATH_BITS[1]) << np.uint64(PATH_BITS[1]) | np.uint64(p * width + c)
+                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), pa.array(f.view(np.int64))], names=["key", "fp"])
+
+    return run
+
+
 def pivots(n: int = 16) -> np.ndarray:
     """Reference fingerprints: the first ``n`` outputs of the splitmix64 generator."""
     z = (np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -164,16 +207,19 @@ def _linked(cell: int):
 
 def link_forest(fps: DataFrame, cell: int = 20_000) -> DataFrame:
     """``(u, v)`` edges that connect the distinct ``fp`` of ``fps`` exactly as all links within MOST bits would."""
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks())]))
-    keyed = fps.select(keys.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    found = settle(keyed.mapInArrow(_linked(cell), "kind int, u long, v long"), "links")
-    hot = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("fp"))
-    parts = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell // 2)).cast("long").alias("parts"))
-    mine = hot.join(parts, "key").select("key", "fp", "parts", F.pmod(F.xxhash64("fp"), "parts").alias("i"))
-    cells = mine.select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
-    more = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(1 << 60), "kind int, u long, v long")
-    return found.where("kind = 0").select("u", "v").union(more.where("kind = 0").select("u", "v"))
+    path = PATH_BITS[0]
+    keys = F.explode(F.array(*[F.shiftleft(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))), path).bitwiseOR(F.lit(k)) for k, m in enumerate(block_masks())]))
+    keyed, edges = fps.select(keys.alias("key"), "fp"), None
+    for level in range(LEVELS + 1):
+        most = cell if level < LEVELS else 1 << 60
+        met = keyed.repartition("key").sortWithinPartitions("key")
+        found = settle(met.mapInArrow(_linked(most), "kind int, u long, v long"), "links")
+        own = found.where("kind = 0").select("u", "v")
+        edges = own if edges is None else edges.union(own)
+        hot = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("fp"))
+        if level == LEVELS or hot.isEmpty():
+            return edges
+        keyed = hot.mapInArrow(_finer(level + 1), "key long, fp long")
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
