@@ -27,10 +27,10 @@ from .shared import settle, slices, table, text_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
-RAW = frozenset("script style textarea title noscript iframe svg math template xmp".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 #: Elements that are never part of the article, by what HTML says of them.
-ASIDE = frozenset("nav header footer aside form button select dialog menu head figure figcaption label option".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+ASIDE = frozenset("nav header footer aside form button select dialog menu head label option".split()) | RAW
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt msup msub picture svg g path rect circle ellipse line polygon polyline text tspan".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 MARK = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -86,6 +86,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
             if not m[3].endswith("/"):
                 stack.append(tag)
             continue
+        if tag in VOID and tag not in ("br", "hr"):  # a picture or a field stands inside its block
+            continue
         flush()
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -247,11 +249,10 @@ def candidates(found: list) -> list:
 
 
 def main_text(html: str, constant: set[tuple[str, int]]) -> str:
-    """Blocks that aren't template and stand where articles stand."""
+    """Blocks that aren't template and stand where articles stand. A page that has nothing of its own keeps what it has."""
     found = candidates(blocks(html))
-    if constant:
-        found = [x for x in found if ("".join(f"\t{n}" for n in x[0]), _hash(x[1])) not in constant]
-    return "\n".join(t for _, t, _ in found)
+    varying = [x for x in found if ("".join(f"\t{n}" for n in x[0]), _hash(x[1])) not in constant] if constant else found
+    return "\n".join(t for _, t, _ in varying or found)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
