@@ -225,6 +225,16 @@ def _decoded(media: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return samples, np.repeat(np.arange(len(media)), [len(x) for x in pictures])
 
 
+def _shots(opens: np.ndarray, of: np.ndarray, files: int) -> tuple[np.ndarray, ...]:
+    """File, first frame and number of frames of each shot, and where each file's shots begin."""
+    at = np.flatnonzero(opens)
+    frames = np.bincount(of, minlength=files)
+    begin = np.cumsum(frames) - frames
+    doc = of[at]
+    end = np.minimum(np.append(at[1:], len(of)), (begin + frames)[doc])
+    return doc, at - begin[doc], end - at, np.searchsorted(doc, np.arange(files + 1))
+
+
 def clips(media: DataFrame) -> DataFrame:
     """``(id, clip, first_frame, n_frames, start_ms, end_ms)``: one row per shot of each file of ``media(id, media)``.
     Null files have no rows; a file that can't be read ends the job with the reason."""
@@ -232,21 +242,16 @@ def clips(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", 1 << 20):
             samples, of = _decoded(part.column("media").to_pylist())
-            at = np.flatnonzero(cuts(samples, of))
-            frames = np.bincount(of, minlength=part.num_rows)
-            begin = np.cumsum(frames) - frames
-            doc = of[at]
-            end = np.minimum(np.append(at[1:], len(of)), (begin + frames)[doc])
-            clip = np.arange(len(at)) - np.searchsorted(doc, doc)
-            first = at - begin[doc]
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), *map(pa.array, (clip, first, end - at, first * FRAME_MS, (first + end - at) * FRAME_MS))], names=["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms"])
+            doc, first, n, begins = _shots(cuts(samples, of), of, part.num_rows)
+            clip = np.arange(len(doc)) - begins[doc]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), *map(pa.array, (clip, first, n, first * FRAME_MS, (first + n) * FRAME_MS))], names=["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms"])
 
     kind = media.schema["id"].dataType.simpleString()
     return media.where("media IS NOT NULL").select("id", "media").mapInArrow(run, f"id {kind}, clip long, first_frame long, n_frames long, start_ms long, end_ms long")
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests of what ``media(id, n_bytes, media)`` holds, read from the stored bytes."""
+    """Digests of what ``media(id, n_bytes, media)`` holds and its timed clips, read from the stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", 1 << 20):
@@ -254,6 +259,9 @@ def read_media(media: DataFrame) -> DataFrame:
             samples, of = _decoded(files)
             frames = np.bincount(of, minlength=len(files)).tolist()
             opens, data, k, rows = cuts(samples, of), samples.tobytes(), 0, []
+            _, first, n, begins = _shots(opens, of, len(files))
+            timed = pa.StructArray.from_arrays([pa.array(first * FRAME_MS), pa.array((first + n) * FRAME_MS)], names=["start_ms", "end_ms"])
+            shots_of = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), timed)
             for m, f in zip(files, frames, strict=True):
                 payload = data[k * SAMPLES : (k + f) * SAMPLES]
                 shots = np.flatnonzero(opens[k : k + f]).tolist()
@@ -262,11 +270,11 @@ def read_media(media: DataFrame) -> DataFrame:
                 k += f
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), shots_of], names=names)
 
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
     kind = media.schema["id"].dataType.simpleString()
-    return media.where("media IS NOT NULL").select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.where("media IS NOT NULL").select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_ms:long,end_ms:long>>")
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
