@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, checks, rounds, search, texts
+from . import analytics, checks, repository, rounds, search, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | checks.QUERIES
-ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | checks.ORACLES
+QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | repository.QUERIES | checks.QUERIES
+ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | repository.ORACLES | checks.ORACLES

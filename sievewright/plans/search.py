@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import index as I
 from ..operators import search as S
-from ..sources.tables import load
+from ..sources.tables import REPOSITORY, load
+from .shared import stored_index
 
 QUERY = "the thtion and onre thtion erin"
-TOK = "[lower(x) for x in regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')]"
-PARTS = f"""
-tok AS (SELECT doc_id, {TOK} AS t FROM documents),
-st AS (SELECT CAST(count(*) AS DOUBLE) AS n, coalesce(avg(CAST(len(t) AS DOUBLE)), 0) AS avgdl FROM tok),
-post AS (SELECT doc_id, dl, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, CAST(len(t) AS DOUBLE) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
-dfs AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY term),
-w AS (SELECT doc_id, query, post.term, qtf, ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) AS idf,
-  tf * 2.5e0 / (tf + 1.5e0 * (1e0 - 0.75e0 + 0.75e0 * dl / greatest(avgdl, 1e0))) AS w
-  FROM post JOIN q USING (term) JOIN dfs USING (term), st)"""
+TOKENS = "[lower(x) for x in regexp_extract_all({}, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')]"
+TOK = TOKENS.format("text")
+#: Postings of paths, file names and texts, and the BM25 parts of the terms in ``q``.
+PARTS = f"""{REPOSITORY}, tok AS (
+  SELECT doc_id, {TOKENS.format("path || chr(10) || regexp_extract(path, '[^/]*$') || chr(10) || coalesce(text, '')")} AS t FROM files
+), st AS (
+  SELECT CAST(count(*) AS DOUBLE) AS n, coalesce(avg(CAST(len(t) AS DOUBLE)), 0) AS avgdl FROM tok
+), post AS (
+  SELECT doc_id, dl, term, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT doc_id, CAST(len(t) AS DOUBLE) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL
+), dfs AS (
+  SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY term
+), w AS (
+  SELECT doc_id, query, post.term, qtf, ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) AS idf,
+    tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / greatest(avgdl, 1e0))) AS w
+  FROM post JOIN q USING (term) JOIN dfs USING (term), st
+)"""
 ONE = f"q AS (SELECT 0 AS query, term, CAST(count(*) AS DOUBLE) AS qtf FROM (SELECT unnest(string_split('{QUERY}', ' ')) AS term) GROUP BY term)"
 ITEMS = f"q AS (SELECT query, term, CAST(count(*) AS DOUBLE) AS qtf FROM (SELECT item_id AS query, unnest({TOK}) AS term FROM benchmark) GROUP BY ALL)"
 BATCH = f"WITH {ITEMS}, {PARTS}, s AS (SELECT query, doc_id, round(sum(idf * w), 6) AS score FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s)"
@@ -30,13 +40,17 @@ def _docs(spark, d):
     return load(spark, d, "documents", "doc_id", "text")
 
 
+def _bm25(spark, d, terms):
+    return I.bm25(stored_index(spark, d), terms).withColumnRenamed("key", "doc_id")
+
+
 def bm25_topk(spark, d):
-    return S.bm25(_docs(spark, d), _one(spark)).select("doc_id", F.round("score", 6).alias("score"), "matched").orderBy(F.desc("score"), "doc_id").limit(50)
+    return _bm25(spark, d, _one(spark)).select("doc_id", F.round("score", 6).alias("score"), "matched").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 def bm25_ranked(spark, d, k=10):
     q = S.query_terms(load(spark, d, "benchmark"), "item_id", "text")
-    s = S.bm25(_docs(spark, d), q).select(F.col("query").alias("item_id"), "doc_id", F.round("score", 6).alias("score"))
+    s = _bm25(spark, d, q).select(F.col("query").alias("item_id"), "doc_id", F.round("score", 6).alias("score"))
     return S.top(s, "item_id", k, F.desc("score"), F.col("doc_id"))
 
 
@@ -45,7 +59,7 @@ def bm25_batch(spark, d):
 
 
 def sparse_dot_topk(spark, d):
-    return S.sparse_dot(_docs(spark, d), _one(spark)).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    return I.sparse_dot(stored_index(spark, d), _one(spark)).withColumnRenamed("key", "doc_id").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 def _cosine(spark, d):
@@ -59,7 +73,7 @@ def cosine_topk(spark, d):
 
 def _channels(spark, d):
     """The best 60 of the sparse and of the dense ranking."""
-    sparse = S.sparse_dot(_docs(spark, d), _one(spark)).select("doc_id", F.round("score", 6).alias("s")).orderBy(F.desc("s"), "doc_id").limit(60).withColumn("g", F.lit(0))
+    sparse = I.sparse_dot(stored_index(spark, d), _one(spark)).withColumnRenamed("key", "doc_id").select("doc_id", F.round("score", 6).alias("s")).orderBy(F.desc("s"), "doc_id").limit(60).withColumn("g", F.lit(0))
     dense = _cosine(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("sim").alias("s")).orderBy(F.desc("s"), "doc_id").limit(60).withColumn("g", F.lit(0))
     return [S.top(x, "g", 60, F.desc("s"), F.col("doc_id")) for x in (sparse, dense)]
 
@@ -96,7 +110,7 @@ def seeds_top2(spark, d):
 def collapse_best(spark, d):
     """Hits of a whole source collapse to one row: best score and the three best references."""
     src = load(spark, d, "documents", "doc_id", "source")
-    s = S.bm25(_docs(spark, d), _one(spark)).select("doc_id", F.round("score", 6).alias("score")).join(src, "doc_id")
+    s = _bm25(spark, d, _one(spark)).select("doc_id", F.round("score", 6).alias("score")).join(src, "doc_id")
     best = S.top(s, "source", 3, F.desc("score"), F.col("doc_id"))
     return best.groupBy("source").agg(F.max("score").alias("best_score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("refs"))
 
@@ -105,7 +119,7 @@ def dedupe_keep_max(spark, d):
     """The best hit per lower-case source and role weight."""
     src = load(spark, d, "documents", "doc_id", "source", "lang")
     weight = F.when(F.col("lang") == "en", 1.3).when(F.col("lang") == "fr", 0.85).otherwise(0.6)
-    s = S.bm25(_docs(spark, d), _one(spark)).join(src, "doc_id").select("doc_id", "source", F.round(F.round("score", 6) * weight, 6).alias("key"))
+    s = _bm25(spark, d, _one(spark)).join(src, "doc_id").select("doc_id", "source", F.round(F.round("score", 6) * weight, 6).alias("key"))
     return S.top(s, "source", 1, F.desc("key"), F.col("doc_id")).select("source", "doc_id", "key")
 
 
