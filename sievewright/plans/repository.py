@@ -161,11 +161,11 @@ _LINES = """l AS (
       row_number() OVER (PARTITION BY kept.path, s ORDER BY no) AS r
     FROM kept JOIN l ON l.path = kept.path AND no >= s AND no < e WHERE regexp_matches(line, '""" + SYMBOL + """')
   ) WHERE r <= 4 GROUP BY path, s
-), w AS (
+), win AS (
   SELECT path, s, unnest(range(s, e, 30)) AS a, e FROM kept
 ), c AS (
-  SELECT w.path, w.s, w.a + 1 AS line_start, least(w.a + 40, w.e) AS line_end, string_agg(line, chr(10) ORDER BY no) AS text
-  FROM w JOIN l ON l.path = w.path AND no >= w.a AND no < least(w.a + 40, w.e)
+  SELECT win.path, win.s, win.a + 1 AS line_start, least(win.a + 40, win.e) AS line_end, string_agg(line, chr(10) ORDER BY no) AS text
+  FROM win JOIN l ON l.path = win.path AND no >= win.a AND no < least(win.a + 40, win.e)
   GROUP BY ALL HAVING bool_or(regexp_matches(line, '\\S'))
 )"""
 _ROLE = f"""CASE
