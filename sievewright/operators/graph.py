@@ -10,19 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reach(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """``(root, node, depth)`` of the nodes that ``edges(src, dst)`` reach from ``roots(root)``, least depth first."""
-    seen = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, most + 1):
+def reach(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
+    """``(root, node, depth)`` of the nodes that ``edges(src, dst)`` reach from ``roots(root)``, least depth first; all that there
+    are, or those up to ``hops`` away.
+
+    Each round joins the last frontier to the edges and writes the new one; what was seen is the union of those. The edges
+    are written once, so that no round works them out again.
+    """
+    edges = edges.select("src", "dst").checkpoint()
+    front = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
+    seen, depth = front, 0
+    while hops is None or depth < hops:
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)
     return seen
 
 
+def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "downstream", hops: int | None = None, node_kinds: tuple[str, ...] = (), edge_kinds: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`reach` over ``edges(src, dst, kind)`` of the given kinds, along them, against them or both; only through nodes
+    ``(id, kind)`` of the given kinds (no kinds: any)."""
+    kept = edges.where(F.col("kind").isin(*edge_kinds)) if edge_kinds else edges
+    along, against = kept.select("src", "dst"), kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    used = {"downstream": along, "upstream": against, "both": along.union(against)}[direction].distinct()
+    if node_kinds:
+        allowed = nodes.where(F.col("kind").isin(*node_kinds)).select(F.col("id").alias("dst"))
+        used = used.join(allowed, "dst", "left_semi").select("src", "dst")
+    return reach(used, roots, hops)
+
+
 def bounded_reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """As :func:`reach` for a small fixed number of hops, as one lazy plan."""
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
