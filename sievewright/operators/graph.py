@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def reach(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
     """``(root, node, depth)`` of the nodes that ``edges(src, dst)`` reach from ``roots(root)``, least depth first; all that there
@@ -17,13 +19,13 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFr
     Each round joins the last frontier to the edges and writes the new one; what was seen is the union of those. The edges
     are written once, so that no round works them out again.
     """
-    edges = edges.select("src", "dst").checkpoint()
-    front = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
+    edges = stored(edges.select("src", "dst"), "edges")
+    front = stored(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "front")
     seen, depth = front, 0
     while hops is None or depth < hops:
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = stored(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as C
 from ..operators import evidence as E
 from ..operators import graph as G
+from ..sources.stored import stored
 from ..sources.tables import load, repository
 from .repository import _LINES, index_search
 from .search import ITEMS, PARTS, REPOSITORY
@@ -62,9 +63,15 @@ def evidence_overlap(spark, d):
     return E.overlapping(symbol_graph(spark, d)[0], _evidence(spark, d)).select(F.col("grp").alias("item_id"), "ref", "id", "name")
 
 
-def _edges(spark, d):
+def _edges(spark, d, evidence=None):
     nodes, edges = symbol_graph(spark, d)
-    return E.evidence_edges(nodes, edges, _evidence(spark, d))
+    return E.evidence_edges(nodes, edges, evidence or _evidence(spark, d))
+
+
+def _written(spark, d):
+    """The evidence and the edges between it, written once for queries that need them several times."""
+    e = stored(_evidence(spark, d), "evidence")
+    return e, stored(_edges(spark, d, e), "evidence-edges")
 
 
 def evidence_edges(spark, d):
@@ -78,9 +85,9 @@ def structural_connections(spark, d):
     return c.select(F.col("grp").alias("item_id"), F.col("ord").cast("long").alias("ord"), "source_ref", "target_ref", "relationship_kind", "label", "description")
 
 
-def _said(spark, d):
+def _said(evidence):
     """Connections that the hits suggest: each piece of evidence to the two after it, stated with more or less care."""
-    e = _evidence(spark, d).select("grp", "ref", "rank")
+    e = evidence.select("grp", "ref", "rank")
     kinds, levels = F.array(*map(F.lit, (*E.CONNECTIONS, "guess"))), F.array(*map(F.lit, ("high", "medium", "low", "sure")))
     j = e.alias("a").join(e.alias("b"), F.expr("a.grp = b.grp AND b.rank > a.rank AND b.rank <= a.rank + 2"))
     n = F.expr("CAST(a.rank * 3 + b.rank + a.grp AS INT)")
@@ -90,44 +97,43 @@ def _said(spark, d):
     )
 
 
-def _valid(spark, d):
-    edges = _edges(spark, d).select("grp", F.col("source_ref").alias("a"), F.col("target_ref").alias("b"))
-    return E.valid_connections(_said(spark, d), _evidence(spark, d), edges)
+def _valid(e, edges):
+    return E.valid_connections(_said(e), e, edges.select("grp", F.col("source_ref").alias("a"), F.col("target_ref").alias("b")))
 
 
 def valid_connections(spark, d):
     """Of the suggested connections those that pass every check."""
-    return _valid(spark, d).select(F.col("grp").alias("item_id"), F.col("ord").cast("long").alias("ord"), "source_ref", "target_ref", "relationship_kind", "grounding", "confidence")
+    return _valid(*_written(spark, d)).select(F.col("grp").alias("item_id"), F.col("ord").cast("long").alias("ord"), "source_ref", "target_ref", "relationship_kind", "grounding", "confidence")
 
 
-def _candidate_graph(spark, d):
-    first = E.connections(_edges(spark, d)).select("grp", "ord", "source_ref", "target_ref")
-    return E.unique_pairs(first.union(_valid(spark, d).select("grp", F.col("ord") + 10_000, "source_ref", "target_ref")))
+def _candidate_graph(e, edges):
+    first = E.connections(edges).select("grp", "ord", "source_ref", "target_ref")
+    return E.unique_pairs(first.union(_valid(e, edges).select("grp", F.col("ord") + 10_000, "source_ref", "target_ref")))
 
 
 def evidence_coverage(spark, d):
     """Structural and valid connections together: what of each item's evidence they tie to its first piece, what is declared
     to stand apart (even documents of the later ranks) and what nobody accounts for."""
-    e = _evidence(spark, d)
+    e, edges = _written(spark, d)
     told = e.where("rank > 6 AND CAST(substring(ref, 2) AS LONG) % 2 = 0")
-    return E.coverage(e, _candidate_graph(spark, d), e.where("rank = 1").select("grp", "ref"), told).groupBy(F.col("grp").alias("item_id"), "state").agg(F.count(F.lit(1)).alias("n"))
+    return E.coverage(e, _candidate_graph(e, edges), e.where("rank = 1").select("grp", "ref"), told).groupBy(F.col("grp").alias("item_id"), "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evidence_forest(spark, d):
     """Connections of an item's evidence, structural ones first, without those that close a cycle."""
-    c = _candidate_graph(spark, d)
+    c = _candidate_graph(*_written(spark, d))
     return G.minimal_forest(c.select(F.col("grp").cast("string").alias("grp"), "ord", F.col("source_ref").alias("src"), F.col("target_ref").alias("dst"))).groupBy("grp").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def organizer_errors(spark, d, least=8, most=16):
     """What is wrong with a selection of evidence: its size, references that are unknown or repeated, a root that isn't in it,
     pieces that nothing connects."""
-    e = _evidence(spark, d)
+    e, edges = _written(spark, d)
     chosen = e.where("rank % 4 <> 3").select("grp", "ref").union(e.where("rank = 2 AND grp % 3 = 0").select("grp", "ref")).union(e.where("rank = 5 AND grp % 5 = 0").select("grp", F.concat("ref", F.lit("x"))))
     per = chosen.groupBy("grp", "ref").agg(F.count(F.lit(1)).alias("n")).join(e.select("grp", "ref", F.lit(True).alias("known")), ["grp", "ref"], "left")
     s = per.groupBy("grp").agg(F.sum("n").alias("all"), F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if(F.col("n") > 1).alias("twice"))
     rooted = per.join(e.where("rank = 3").select("grp", "ref"), ["grp", "ref"], "left_semi").select("grp", F.lit(True).alias("rooted"))
-    loose = E.coverage(e, _candidate_graph(spark, d), e.where("rank = 1").select("grp", "ref"), e.where("false")).where("state = 'unaccounted'").join(per.select("grp", "ref"), ["grp", "ref"], "left_semi").groupBy("grp").agg(F.count(F.lit(1)).alias("loose"))
+    loose = E.coverage(e, _candidate_graph(e, edges), e.where("rank = 1").select("grp", "ref"), e.where("false")).where("state = 'unaccounted'").join(per.select("grp", "ref"), ["grp", "ref"], "left_semi").groupBy("grp").agg(F.count(F.lit(1)).alias("loose"))
     j = s.join(rooted, "grp", "left").join(loose, "grp", "left")
     size = F.when((F.col("all") < least) | (F.col("all") > most), F.lit("size"))
     errors = F.array_compact(F.array(size, F.when(F.col("unknown") > 0, F.lit("unknown")), F.when(F.col("twice") > 0, F.lit("repeated")), F.when(F.col("rooted").isNull(), F.lit("root")), F.when(F.col("loose") > 0, F.lit("disconnected"))))

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as I
+from ..sources.stored import shared_folder
 from ..sources.tables import repository
 
-_folders: dict[str, str] = {}
 _known: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where that is unset and all tasks run here."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        _folders[app] = f"file://{tempfile.mkdtemp(prefix='spark-index-')}"
-    return _folders[app]
-
-
 def stored_index(spark: SparkSession, d: str) -> I.Index:
     """The index of the supplied documents, written once and used again while their signature stays the same."""
     docs = repository(spark, d).select(F.col("doc_id").alias("key"), I.document_text().alias("text"))
