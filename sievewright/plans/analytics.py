@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.contain import containing
 from ..sources.tables import load
 from ..streaming import events as E
 from .search import BATCH, bm25_ranked
@@ -18,9 +19,9 @@ def convergence_votes(spark, d):
 
 
 def _oracle(spark, d):
-    docs = load(spark, d, "documents", "doc_id", "text")
-    items = load(spark, d, "benchmark", "item_id", "text").withColumnRenamed("text", "item")
-    return docs.join(F.broadcast(items), F.expr("contains(text, trim(item))")).select("item_id", "doc_id")
+    docs = load(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "key")
+    items = load(spark, d, "benchmark", "item_id", "text").withColumnsRenamed({"item_id": "id", "text": "needle"})
+    return containing(docs, items).withColumnsRenamed({"id": "item_id", "key": "doc_id"})
 
 
 def oracle_overlap(spark, d):
@@ -87,8 +88,9 @@ def round_robin_select(spark, d):
 
 def diverse_select(spark, d):
     """Four parts per brand that differ in type and container family."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    c = load(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 50")
+    # of each path the dearest four: four picks never reach a fifth
+    w = Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
+    c = load(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 4")
     return G.diverse(c.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ref"), F.regexp_replace("p_type", " ", "/").alias("path"), (F.col("p_retailprice") / 1000.0).alias("score")))
 
 

@@ -26,11 +26,17 @@ def line_chunks(spark, d, count=40, overlap=10):
     return starts.select("doc_id", F.col("line_start").cast("long").alias("line_start"), F.least(F.col("line_start") + count - 1, F.col("n")).cast("long").alias("line_end"))
 
 
+def _spans(ls, n):
+    """Declarations of an array of lines as (start, end), each up to the line before the next; found inside the array."""
+    starts = F.array_compact(F.transform(ls, lambda x, i: F.when(x.rlike(DECLARATION), i + 1)))
+    return F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(starts, i + 1) - 1, n).alias("end")))
+
+
 def declaration_spans(spark, d):
     """From each declaration to the line before the next."""
-    found = _lines(spark, d).where(F.col("line").rlike(DECLARATION))
-    w = Window.partitionBy("doc_id").orderBy("no")
-    return found.select("doc_id", F.col("no").cast("long").alias("start"), F.coalesce(F.lead("no").over(w) - 1, F.col("n")).cast("long").alias("end"))
+    docs = load(spark, d, "documents", "doc_id", "text").select("doc_id", T.lines(F.col("text")).alias("a"))
+    found = docs.select("doc_id", F.inline(_spans(F.col("a"), F.size("a"))))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def nearest_declaration(spark, d, back=40):
@@ -91,12 +97,16 @@ def salient_line(spark, d):
     return r.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "no"))).where("r = 1").select("doc_id", F.col("no").cast("long").alias("no"), "score")
 
 
-def interval_overlap(spark, d):
-    """Chunks and declaration spans of a document that overlap, by an equality on the document and a range."""
-    a = line_chunks(spark, d)
-    b = declaration_spans(spark, d).withColumnsRenamed({"doc_id": "d2"})
-    j = a.join(b, (a["doc_id"] == b["d2"]) & (b["start"] <= a["line_end"]) & (b["end"] >= a["line_start"]))
-    return j.select("doc_id", "line_start", "start", (F.least("line_end", "end") - F.greatest("line_start", "start") + 1).alias("lines"))
+def interval_overlap(spark, d, count=40, overlap=10):
+    """Chunks and declaration spans of a document that overlap; both come from one split of the text, so nothing is joined."""
+    docs = load(spark, d, "documents", "doc_id", "text").select("doc_id", T.lines(F.col("text")).alias("a")).where("size(a) > 0")
+    rows = docs.select("doc_id", F.size("a").alias("n"), F.inline(_spans(F.col("a"), F.size("a"))))
+    step = count - overlap
+    first = F.greatest(F.lit(0), F.ceil((F.col("start") - count) / F.lit(step)))  # the first window that ends behind the start
+    last = F.floor((F.least("end", "n") - 1) / F.lit(step))
+    w = rows.withColumns({"first": first, "last": last}).where("first <= last").select("doc_id", "n", "start", "end", F.explode(F.sequence("first", "last")).alias("k"))
+    w = w.withColumn("line_start", F.col("k") * step + 1).withColumn("line_end", F.least(F.col("line_start") + count - 1, F.col("n")))
+    return w.where("line_end >= start").select("doc_id", "line_start", "start", (F.least("line_end", "end") - F.greatest("line_start", "start") + 1).alias("lines"))
 
 
 def role_scores(spark, d):
