@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, checks, graphs, repository, roles, rounds, search, texts
+from . import analytics, checks, graphs, prompts, repository, roles, rounds, search, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | repository.QUERIES | roles.QUERIES | graphs.QUERIES | checks.QUERIES
-ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | repository.ORACLES | roles.ORACLES | graphs.ORACLES | checks.ORACLES
+QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | repository.QUERIES | roles.QUERIES | graphs.QUERIES | prompts.QUERIES | checks.QUERIES
+ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | repository.ORACLES | roles.ORACLES | graphs.ORACLES | prompts.ORACLES | checks.ORACLES
