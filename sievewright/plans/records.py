@@ -128,7 +128,7 @@ _DECISIONS = f"""dec AS (
 ORACLES = {
     "json_records": """
 WITH g AS (
-  SELECT l_orderkey, count(*) AS n, arg_min((l_linestatus, l_quantity, l_returnflag), CAST(l_linenumber AS VARCHAR)) AS x FROM lineitem GROUP BY l_orderkey
+  SELECT l_orderkey, count(*) AS n, arg_min((l_linestatus, l_quantity, l_returnflag), (CAST(l_linenumber AS VARCHAR), l_linestatus, l_quantity, l_returnflag)) AS x FROM lineitem GROUP BY l_orderkey
 )
 SELECT l_orderkey, CASE WHEN l_orderkey % 4 < 2 THEN n ELSE 1 END AS records, CASE WHEN l_orderkey % 4 < 2 THEN x[1] ELSE CAST(l_orderkey AS VARCHAR) END AS label,
   CASE WHEN l_orderkey % 4 < 2 THEN CAST(x[2] AS DOUBLE) END AS score, NOT (l_orderkey % 4 < 2 AND x[3] = 'N') AS enabled, l_orderkey % 4 = 2 OR n = 1 AS has_text
