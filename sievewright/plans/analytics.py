@@ -177,24 +177,83 @@ def sessions_stream(spark, d):
 
 QUERIES = {f.__name__: f for f in (convergence_votes, oracle_overlap, found_at_k, coverage_gate, reach_components, one_hop, unordered_pairs, minimal_forest, round_robin_select, diverse_select, token_usage, stage_median, stage_elapsed, progress_fold, latest_before, interval_merge, containment_sweep, union_last_wins, set_comparison, batch_summary, record_fields, sessions_stream)}
 _O = "o AS (SELECT item_id, doc_id FROM documents d, benchmark b WHERE contains(d.text, trim(b.text)))"
-_GAPS = "SELECT user_id, t, sum(n) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM (SELECT user_id, event_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) {} THEN 0 ELSE 1 END AS n FROM events)"
+_GAPS = """
+SELECT user_id, t, sum(n) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g
+  FROM (SELECT user_id, event_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) {} THEN 0 ELSE 1 END AS n
+  FROM events)"""
 ORACLES = {
     "convergence_votes": "SELECT l_partkey AS target, count(DISTINCT l_suppkey) AS votes FROM lineitem GROUP BY l_partkey HAVING votes >= 2 ORDER BY votes DESC, target LIMIT 20",
-    "oracle_overlap": f"{BATCH}, {_O} SELECT item_id, count(*) AS oracle, count(rank) AS overlap, CAST(sum(CASE WHEN rank IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missed FROM o LEFT JOIN (SELECT query, doc_id, rank FROM r WHERE rank <= 10) AS h ON o.item_id = h.query AND o.doc_id = h.doc_id GROUP BY item_id",
-    "found_at_k": f"{BATCH}, {_O} SELECT item_id, min(rank) AS best, min(rank) <= 5 AS found5, min(rank) <= 10 AS found10, min(rank) <= 20 AS found20 FROM o JOIN r ON o.item_id = r.query AND o.doc_id = r.doc_id WHERE rank <= 20 GROUP BY item_id",
-    "coverage_gate": "SELECT c_mktsegment AS segment, c_nationkey AS nation, CASE WHEN count(DISTINCT o_orderpriority) = 0 THEN 'missing' WHEN count(DISTINCT o_orderpriority) >= 5 THEN 'strong' ELSE 'partial' END AS status FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
-    "reach_components": "SELECT root, depth, count(*) AS nodes FROM (SELECT 'r' || r_regionkey AS root, 0 AS depth FROM region UNION ALL SELECT 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 'r' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'r' || n_regionkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY ALL",
+    "oracle_overlap": f"""
+{BATCH}, {_O} SELECT item_id, count(*) AS oracle, count(rank) AS overlap, CAST(sum(CASE WHEN rank IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missed
+  FROM o
+  LEFT JOIN (SELECT query, doc_id, rank
+  FROM r
+  WHERE rank <= 10) AS h ON o.item_id = h.query AND o.doc_id = h.doc_id
+  GROUP BY item_id""",
+    "found_at_k": f"""
+{BATCH}, {_O} SELECT item_id, min(rank) AS best, min(rank) <= 5 AS found5, min(rank) <= 10 AS found10, min(rank) <= 20 AS found20
+  FROM o JOIN r ON o.item_id = r.query AND o.doc_id = r.doc_id
+  WHERE rank <= 20
+  GROUP BY item_id""",
+    "coverage_gate": """
+SELECT c_mktsegment AS segment, c_nationkey AS nation, CASE WHEN count(DISTINCT o_orderpriority) = 0 THEN 'missing' WHEN count(DISTINCT o_orderpriority) >= 5 THEN 'strong' ELSE 'partial' END AS status
+  FROM customer
+  LEFT JOIN orders ON c_custkey = o_custkey
+  GROUP BY ALL""",
+    "reach_components": """
+SELECT root, depth, count(*) AS nodes
+  FROM (SELECT 'r' || r_regionkey AS root, 0 AS depth
+  FROM region
+  UNION ALL SELECT 'r' || n_regionkey, 1
+  FROM nation
+  UNION ALL SELECT 'r' || n_regionkey, 2
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'r' || n_regionkey, 3
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+  GROUP BY ALL""",
     "one_hop": "SELECT o_custkey, count(DISTINCT l_partkey) AS parts FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey ORDER BY parts DESC, o_custkey LIMIT 50",
-    "unordered_pairs": "SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL",
+    "unordered_pairs": """
+SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS n
+  FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey
+  GROUP BY ALL""",
     "token_usage": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, count(*) AS requests, round(sum(value), 4) AS value FROM events GROUP BY event_type",
     "stage_median": "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type",
-    "stage_elapsed": "SELECT event_id, round((epoch_us(ts) - p) / 1000000e0, 3) AS elapsed_s FROM (SELECT event_id, ts, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NOT NULL",
-    "progress_fold": "SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
+    "stage_elapsed": """
+SELECT event_id, round((epoch_us(ts) - p) / 1000000e0, 3) AS elapsed_s
+  FROM (SELECT event_id, ts, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p
+  FROM events)
+  WHERE p IS NOT NULL""",
+    "progress_fold": """
+SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+  FROM events)
+  WHERE r = 1""",
     "latest_before": "SELECT o_orderkey, previous FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders) WHERE previous IS NOT NULL",
     "interval_merge": f"SELECT user_id, min(t) - 3600000000 AS start_us, max(t) + 3600000000 AS end_us, count(*) AS n FROM ({_GAPS.format('<= 7200000000')}) GROUP BY user_id, g",
-    "containment_sweep": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (SELECT *, coalesce(max(l_linenumber + l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber + l_quantity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS m FROM lineitem) WHERE l_linenumber + l_quantity > m",
-    "union_last_wins": "WITH u AS (SELECT source, min(doc_id) AS ord, max(n_chars) AS score, 1 AS l FROM documents GROUP BY source UNION ALL SELECT source, max(doc_id), min(n_chars), 2 FROM documents WHERE lang = 'en' GROUP BY source) SELECT source, arg_min(ord, l) AS ord, arg_max(score, l) AS score FROM u GROUP BY source",
-    "set_comparison": "SELECT CASE WHEN a IS NULL THEN 'only_b' WHEN b IS NULL THEN 'only_a' ELSE 'both' END AS part, count(*) AS n FROM (SELECT DISTINCT o_custkey AS k, 1 AS a FROM orders) FULL JOIN (SELECT c_custkey AS k, 1 AS b FROM customer WHERE c_acctbal > 0) USING (k) GROUP BY part",
+    "containment_sweep": """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber
+  FROM (SELECT *, coalesce(max(l_linenumber + l_quantity) OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_linenumber + l_quantity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS m
+  FROM lineitem)
+  WHERE l_linenumber + l_quantity > m""",
+    "union_last_wins": """
+WITH u AS (SELECT source, min(doc_id) AS ord, max(n_chars) AS score, 1 AS l
+  FROM documents
+  GROUP BY source
+  UNION ALL SELECT source, max(doc_id), min(n_chars), 2
+  FROM documents
+  WHERE lang = 'en'
+  GROUP BY source) SELECT source, arg_min(ord, l) AS ord, arg_max(score, l) AS score
+  FROM u
+  GROUP BY source""",
+    "set_comparison": """
+SELECT CASE WHEN a IS NULL THEN 'only_b' WHEN b IS NULL THEN 'only_a' ELSE 'both' END AS part, count(*) AS n
+  FROM (SELECT DISTINCT o_custkey AS k, 1 AS a
+  FROM orders) FULL JOIN (SELECT c_custkey AS k, 1 AS b
+  FROM customer
+  WHERE c_acctbal > 0) USING (k)
+  GROUP BY part""",
     "batch_summary": "SELECT o_orderstatus, count(*) AS n, count_if(o_orderpriority = '1-URGENT') AS urgent, round(avg(o_totalprice), 2) AS mean_price FROM orders GROUP BY o_orderstatus",
     "record_fields": "SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.title')), ''), json_extract_string(props, '$.k'), event_type) AS label FROM events",
     "sessions_stream": f"SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n FROM ({_GAPS.format('< 1800000000')}) GROUP BY user_id, g",

@@ -93,15 +93,78 @@ def weak_followup(spark, d, specs=4, take=4):
 
 
 QUERIES = {f.__name__: f for f in (enriched_hits, evidence_intake, sufficiency_check, reply_check, grounding_check, question_check, weak_followup)}
-_REPLIES = "q AS (SELECT u.conv_id, u.turn, coalesce(u.text, '') AS ask, CASE WHEN a.conv_id IS NOT NULL THEN coalesce(a.text, '') END AS reply FROM conversations u LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user')"
+_REPLIES = """
+q AS (SELECT u.conv_id, u.turn, coalesce(u.text, '') AS ask, CASE WHEN a.conv_id IS NOT NULL THEN coalesce(a.text, '') END AS reply
+  FROM conversations u
+  LEFT JOIN (SELECT *
+  FROM conversations
+  WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user')"""
 _CITES = f"list_has_any(known, regexp_extract_all(s, '{WORD}'))"
 _LINK = f"regexp_matches(s, '{CONNECTIVE}')"
 ORACLES = {
     "enriched_hits": f"{BATCH} SELECT query AS item_id, r.doc_id, rank, CASE WHEN rank <= 3 THEN coalesce(text, '') END AS content FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 10 AND score >= 1",
-    "evidence_intake": "WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events), p AS (SELECT user_id, event_type, k, k IS NOT NULL AND value >= 10 AS ok FROM e), t AS (SELECT user_id, count(*) AS raw, count_if(ok) AS valid, count(DISTINCT CASE WHEN ok THEN event_type || ' ' || k END) AS single FROM p GROUP BY user_id) SELECT user_id, raw, CAST(valid AS BIGINT) AS valid, CAST(raw - valid AS BIGINT) AS invalid, CAST(valid - single AS BIGINT) AS duplicate, least(single, 8) AS retained, single - least(single, 8) AS limit_dropped FROM t",
-    "sufficiency_check": f"{BATCH}, g AS (SELECT query, count(*) AS refs, count_if(toxic = 1) AS invalid, count_if(quality = 1) AS good FROM r LEFT JOIN labels l ON l.doc_id = r.doc_id WHERE rank <= 3 GROUP BY query) SELECT item_id, coalesce(refs, 0) AS refs, CAST(coalesce(invalid, 0) AS BIGINT) AS invalid, CASE WHEN refs IS NULL THEN 'missing' WHEN invalid > 0 THEN 'unclear' WHEN good > 0 THEN 'covered' ELSE 'partial' END AS status FROM benchmark LEFT JOIN g ON query = item_id",
-    "reply_check": f"WITH {_REPLIES} SELECT conv_id, count(*) AS expected, count(reply) AS answered, CASE WHEN count(*) = count(reply) THEN 'complete' WHEN count(reply) = 0 THEN 'none' ELSE 'partial' END AS status, min(CASE WHEN reply IS NULL THEN turn END) AS next_turn FROM q GROUP BY conv_id",
-    "grounding_check": f"WITH {_REPLIES}, x AS (SELECT conv_id, turn, regexp_extract_all(lower(ask), '{WORD}') AS known, unnest(string_split_regex(lower(reply), '[.\\n]')) AS s FROM q WHERE reply IS NOT NULL), y AS (SELECT conv_id, turn, known, trim(s) AS s FROM x WHERE trim(s) <> '') SELECT conv_id, turn, CAST(count_if(NOT {_LINK}) AS BIGINT) AS claims, CAST(count_if(NOT {_LINK} AND NOT {_CITES}) AS BIGINT) AS uncited, CAST(count_if({_LINK} AND {_CITES}) AS BIGINT) AS bad_connectives FROM y GROUP BY conv_id, turn",
-    "question_check": "WITH s AS (SELECT conv_id, turn, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g') AS sign FROM conversations WHERE role = 'user'), g AS (SELECT conv_id, sign, min(turn) AS turn, count(*) AS copies FROM s GROUP BY conv_id, sign) SELECT conv_id, turn, copies, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sign) AS rank FROM g) WHERE rank <= 3",
-    "weak_followup": f"{BATCH}, h AS (SELECT DISTINCT query FROM r JOIN documents d ON d.doc_id = r.doc_id JOIN benchmark b ON b.item_id = r.query WHERE rank <= 5 AND contains(d.text, trim(b.text))), v AS (SELECT DISTINCT query, doc_id, term FROM w), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM v GROUP BY term), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY df, term) AS n FROM (SELECT DISTINCT query, term, df FROM v JOIN f USING (term) WHERE query NOT IN (SELECT query FROM h))), g AS (SELECT v.query, v.doc_id, count(*) AS matched, round(sum(1e0 / df), 9) AS score FROM v JOIN t ON t.query = v.query AND t.term = v.term WHERE n <= 4 GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY matched DESC, score DESC, doc_id) AS place FROM g) SELECT b.query AS item_id, b.doc_id, matched, b.score, place AS rank, r.doc_id IS NULL AS fresh FROM b LEFT JOIN r ON r.query = b.query AND r.doc_id = b.doc_id AND r.rank <= 10 WHERE place <= 4",
+    "evidence_intake": """
+WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value
+  FROM events),
+p AS (SELECT user_id, event_type, k, k IS NOT NULL AND value >= 10 AS ok
+  FROM e),
+t AS (SELECT user_id, count(*) AS raw, count_if(ok) AS valid, count(DISTINCT CASE WHEN ok THEN event_type || ' ' || k END) AS single
+  FROM p
+  GROUP BY user_id) SELECT user_id, raw, CAST(valid AS BIGINT) AS valid, CAST(raw - valid AS BIGINT) AS invalid, CAST(valid - single AS BIGINT) AS duplicate, least(single, 8) AS retained, single - least(single, 8) AS limit_dropped
+  FROM t""",
+    "sufficiency_check": f"""
+{BATCH}, g AS (SELECT query, count(*) AS refs, count_if(toxic = 1) AS invalid, count_if(quality = 1) AS good
+  FROM r
+  LEFT JOIN labels l ON l.doc_id = r.doc_id
+  WHERE rank <= 3
+  GROUP BY query) SELECT item_id, coalesce(refs, 0) AS refs, CAST(coalesce(invalid, 0) AS BIGINT) AS invalid, CASE WHEN refs IS NULL THEN 'missing' WHEN invalid > 0 THEN 'unclear' WHEN good > 0 THEN 'covered' ELSE 'partial' END AS status
+  FROM benchmark
+  LEFT JOIN g ON query = item_id""",
+    "reply_check": f"""
+WITH {_REPLIES} SELECT conv_id, count(*) AS expected, count(reply) AS answered, CASE WHEN count(*) = count(reply) THEN 'complete' WHEN count(reply) = 0 THEN 'none' ELSE 'partial' END AS status, min(CASE WHEN reply IS NULL THEN turn END) AS next_turn
+  FROM q
+  GROUP BY conv_id""",
+    "grounding_check": f"""
+WITH {_REPLIES}, x AS (SELECT conv_id, turn, regexp_extract_all(lower(ask), '{WORD}') AS known, unnest(string_split_regex(lower(reply), '[.\\n]')) AS s
+  FROM q
+  WHERE reply IS NOT NULL),
+y AS (SELECT conv_id, turn, known, trim(s) AS s
+  FROM x
+  WHERE trim(s) <> '') SELECT conv_id, turn, CAST(count_if(NOT {_LINK}) AS BIGINT) AS claims, CAST(count_if(NOT {_LINK} AND NOT {_CITES}) AS BIGINT) AS uncited, CAST(count_if({_LINK} AND {_CITES}) AS BIGINT) AS bad_connectives
+  FROM y
+  GROUP BY conv_id, turn""",
+    "question_check": """
+WITH s AS (SELECT conv_id, turn, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g') AS sign
+  FROM conversations
+  WHERE role = 'user'),
+g AS (SELECT conv_id, sign, min(turn) AS turn, count(*) AS copies
+  FROM s
+  GROUP BY conv_id, sign) SELECT conv_id, turn, copies, rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sign) AS rank
+  FROM g)
+  WHERE rank <= 3""",
+    "weak_followup": f"""
+{BATCH}, h AS (SELECT DISTINCT query
+  FROM r JOIN documents d ON d.doc_id = r.doc_id JOIN benchmark b ON b.item_id = r.query
+  WHERE rank <= 5 AND contains(d.text, trim(b.text))),
+v AS (SELECT DISTINCT query, doc_id, term
+  FROM w),
+f AS (SELECT term, count(DISTINCT doc_id) AS df
+  FROM v
+  GROUP BY term),
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY df, term) AS n
+  FROM (SELECT DISTINCT query, term, df
+  FROM v JOIN f USING (term)
+  WHERE query NOT IN (SELECT query
+  FROM h))),
+g AS (SELECT v.query, v.doc_id, count(*) AS matched, round(sum(1e0 / df), 9) AS score
+  FROM v JOIN t ON t.query = v.query AND t.term = v.term
+  WHERE n <= 4
+  GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY matched DESC, score DESC, doc_id) AS place
+  FROM g) SELECT b.query AS item_id, b.doc_id, matched, b.score, place AS rank, r.doc_id IS NULL AS fresh
+  FROM b
+  LEFT JOIN r ON r.query = b.query AND r.doc_id = b.doc_id AND r.rank <= 10
+  WHERE place <= 4""",
 }

@@ -120,12 +120,80 @@ _SCORE = " + ".join(["0e0", *(f"least({t}, 3) * {w}e0" for t, w in TERMS.items()
 _BAND = ", ".join(f"count_if(rank <= {k}) AS n{k}" for k in (5, 10, 20))
 _TARGET = "regexp_replace(href, '^/+|/+$', '', 'g')"
 ORACLES = {
-    "declaration_shortlist": f"WITH {LINES}, m AS (SELECT *, max(CASE WHEN regexp_matches(line, '{DECLARATION}') THEN no END) OVER (PARTITION BY doc_id ORDER BY no) AS decl FROM l), s AS (SELECT doc_id, decl, {_SAID}, count_if(no = decl AND regexp_matches(lower(line), '{'|'.join(TERMS)}')) AS header, count_if(contains(line, '|')) AS support FROM m WHERE no < decl + 80 GROUP BY doc_id, decl), x AS (SELECT doc_id, decl, round({_SCORE} + (CASE WHEN header > 0 THEN 1.5e0 ELSE 0e0 END + CASE WHEN support > 0 THEN 0.8e0 ELSE 0e0 END - least(decl / 10000e0, 0.6e0)), 4) AS score FROM s) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, decl) AS rank FROM x WHERE score > 0) WHERE rank <= 4",
-    "snippets": f"WITH {LINES}, s AS (SELECT doc_id, no AS start, coalesce(lead(no) OVER (PARTITION BY doc_id ORDER BY no) - 1, n) AS e FROM l WHERE regexp_matches(line, '{DECLARATION}')) SELECT doc_id, start, string_agg(line, chr(10) ORDER BY no) AS snippet FROM s JOIN l USING (doc_id) WHERE no BETWEEN start AND least(e, start + 2) GROUP BY doc_id, start",
-    "adaptive_rounds": f"{BATCH}, g AS (SELECT b.item_id, min(CASE WHEN contains(d.text, trim(b.text)) THEN rank END) AS held, {_BAND} FROM r JOIN benchmark b ON r.query = b.item_id JOIN documents d USING (doc_id) WHERE rank <= 20 GROUP BY b.item_id), x AS (SELECT b.item_id, coalesce(held, 99) AS a, coalesce(n5, 0) AS n5, coalesce(n10, 0) AS n10, coalesce(n20, 0) AS n20 FROM benchmark b LEFT JOIN g ON b.item_id = g.item_id), y AS (SELECT *, CAST(CASE WHEN a <= 5 THEN 1 WHEN n10 = n5 OR a <= 10 THEN 2 ELSE 3 END AS BIGINT) AS rounds FROM x) SELECT item_id, rounds, CASE WHEN a <= 5 THEN 'initial_round_sufficient' WHEN n10 = n5 THEN 'no_new_evidence' WHEN a <= 10 THEN 'recovered' WHEN n20 = n10 THEN 'no_new_evidence' WHEN a <= 20 THEN 'promotion_sufficient' ELSE 'round_limit' END AS stop_reason, CAST(CASE rounds WHEN 1 THEN n5 WHEN 2 THEN n10 ELSE n20 END AS BIGINT) AS evidence FROM y",
-    "link_resolution": f"WITH p AS (SELECT regexp_extract(url, '{HOST}', 1) AS host, {PATH} AS path, html FROM pages), t AS (SELECT host, {_TARGET} AS path, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM p) WHERE starts_with(href, '/') GROUP BY ALL), k AS (SELECT DISTINCT host, path, 1 AS known FROM p) SELECT host, CAST(sum(n) AS BIGINT) AS links, count(*) AS targets, CAST(sum(CASE WHEN known = 1 THEN n ELSE 0 END) AS BIGINT) AS resolved FROM t LEFT JOIN k USING (host, path) GROUP BY host",
-    "source_plan_check": "WITH a AS (SELECT DISTINCT source, 1 AS allowed FROM documents WHERE lang = 'en'), p AS (SELECT source, count(*) AS entries FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 GROUP BY source) SELECT source, coalesce(entries, 0) AS entries, CASE WHEN allowed IS NULL THEN 'unknown' WHEN entries IS NULL THEN 'missing' WHEN entries > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM p FULL JOIN a USING (source)",
-    "assessment_shortlist": "SELECT * FROM (SELECT source, doc_id, CASE WHEN toxic = 1 THEN 'noise' WHEN quality = 1 THEN 'core' ELSE 'secondary' END AS role, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM labels JOIN documents USING (doc_id)) WHERE rank <= 12",
-    "policy_check": "WITH t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS previous FROM conversations), b AS (SELECT conv_id, concat_ws(',', CASE WHEN bool_or(trim(coalesce(text, '')) = '') THEN 'empty_text' END, CASE WHEN bool_or(coalesce(role = previous, false)) THEN 'role_order' END, CASE WHEN bool_or(NOT coalesce(role IN ('user', 'assistant', 'system'), false)) THEN 'unknown_role' END) AS violations FROM t GROUP BY conv_id) SELECT conv_id, violations = '' AS allowed, violations FROM b",
-    "cache_misses": "WITH k AS (SELECT doc_id, lang, sha256('model' || chr(10) || text) AS key FROM documents), c AS (SELECT DISTINCT key, 1 AS held FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT lang, count(held) AS hits, CAST(count_if(held IS NULL) AS BIGINT) AS misses FROM (SELECT DISTINCT lang, key FROM k) LEFT JOIN c USING (key) GROUP BY lang",
+    "declaration_shortlist": f"""
+WITH {LINES}, m AS (SELECT *, max(CASE WHEN regexp_matches(line, '{DECLARATION}') THEN no END) OVER (PARTITION BY doc_id ORDER BY no) AS decl
+  FROM l),
+s AS (SELECT doc_id, decl, {_SAID}, count_if(no = decl AND regexp_matches(lower(line), '{'|'.join(TERMS)}')) AS header, count_if(contains(line, '|')) AS support
+  FROM m
+  WHERE no < decl + 80
+  GROUP BY doc_id, decl),
+x AS (SELECT doc_id, decl, round({_SCORE} + (CASE WHEN header > 0 THEN 1.5e0 ELSE 0e0 END + CASE WHEN support > 0 THEN 0.8e0 ELSE 0e0 END - least(decl / 10000e0, 0.6e0)), 4) AS score
+  FROM s) SELECT *
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, decl) AS rank
+  FROM x
+  WHERE score > 0)
+  WHERE rank <= 4""",
+    "snippets": f"""
+WITH {LINES}, s AS (SELECT doc_id, no AS start, coalesce(lead(no) OVER (PARTITION BY doc_id ORDER BY no) - 1, n) AS e
+  FROM l
+  WHERE regexp_matches(line, '{DECLARATION}')) SELECT doc_id, start, string_agg(line, chr(10) ORDER BY no) AS snippet
+  FROM s JOIN l USING (doc_id)
+  WHERE no BETWEEN start AND least(e, start + 2)
+  GROUP BY doc_id, start""",
+    "adaptive_rounds": f"""
+{BATCH}, g AS (SELECT b.item_id, min(CASE WHEN contains(d.text, trim(b.text)) THEN rank END) AS held, {_BAND}
+  FROM r JOIN benchmark b ON r.query = b.item_id JOIN documents d USING (doc_id)
+  WHERE rank <= 20
+  GROUP BY b.item_id),
+x AS (SELECT b.item_id, coalesce(held, 99) AS a, coalesce(n5, 0) AS n5, coalesce(n10, 0) AS n10, coalesce(n20, 0) AS n20
+  FROM benchmark b
+  LEFT JOIN g ON b.item_id = g.item_id),
+y AS (SELECT *, CAST(CASE WHEN a <= 5 THEN 1 WHEN n10 = n5 OR a <= 10 THEN 2 ELSE 3 END AS BIGINT) AS rounds
+  FROM x) SELECT item_id, rounds, CASE WHEN a <= 5 THEN 'initial_round_sufficient' WHEN n10 = n5 THEN 'no_new_evidence' WHEN a <= 10 THEN 'recovered' WHEN n20 = n10 THEN 'no_new_evidence' WHEN a <= 20 THEN 'promotion_sufficient' ELSE 'round_limit' END AS stop_reason, CAST(CASE rounds WHEN 1 THEN n5 WHEN 2 THEN n10 ELSE n20 END AS BIGINT) AS evidence
+  FROM y""",
+    "link_resolution": f"""
+WITH p AS (SELECT regexp_extract(url, '{HOST}', 1) AS host, {PATH} AS path, html
+  FROM pages),
+t AS (SELECT host, {_TARGET} AS path, count(*) AS n
+  FROM (SELECT host, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href
+  FROM p)
+  WHERE starts_with(href, '/')
+  GROUP BY ALL),
+k AS (SELECT DISTINCT host, path, 1 AS known
+  FROM p) SELECT host, CAST(sum(n) AS BIGINT) AS links, count(*) AS targets, CAST(sum(CASE WHEN known = 1 THEN n ELSE 0 END) AS BIGINT) AS resolved
+  FROM t
+  LEFT JOIN k USING (host, path)
+  GROUP BY host""",
+    "source_plan_check": """
+WITH a AS (SELECT DISTINCT source, 1 AS allowed
+  FROM documents
+  WHERE lang = 'en'),
+p AS (SELECT source, count(*) AS entries
+  FROM labels JOIN documents USING (doc_id)
+  WHERE toxic = 1
+  GROUP BY source) SELECT source, coalesce(entries, 0) AS entries, CASE WHEN allowed IS NULL THEN 'unknown' WHEN entries IS NULL THEN 'missing' WHEN entries > 1 THEN 'duplicate' ELSE 'ok' END AS status
+  FROM p FULL JOIN a USING (source)""",
+    "assessment_shortlist": """
+SELECT *
+  FROM (SELECT source, doc_id, CASE WHEN toxic = 1 THEN 'noise' WHEN quality = 1 THEN 'core' ELSE 'secondary' END AS role, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank
+  FROM labels JOIN documents USING (doc_id))
+  WHERE rank <= 12""",
+    "policy_check": """
+WITH t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS previous
+  FROM conversations),
+b AS (SELECT conv_id, concat_ws(',', CASE WHEN bool_or(trim(coalesce(text, '')) = '') THEN 'empty_text' END, CASE WHEN bool_or(coalesce(role = previous, false)) THEN 'role_order' END, CASE WHEN bool_or(NOT coalesce(role IN ('user', 'assistant', 'system'), false)) THEN 'unknown_role' END) AS violations
+  FROM t
+  GROUP BY conv_id) SELECT conv_id, violations = '' AS allowed, violations
+  FROM b""",
+    "cache_misses": """
+WITH k AS (SELECT doc_id, lang, sha256('model' || chr(10) || text) AS key
+  FROM documents),
+c AS (SELECT DISTINCT key, 1 AS held
+  FROM k
+  WHERE doc_id IN (SELECT doc_id
+  FROM labels)) SELECT lang, count(held) AS hits, CAST(count_if(held IS NULL) AS BIGINT) AS misses
+  FROM (SELECT DISTINCT lang, key
+  FROM k)
+  LEFT JOIN c USING (key)
+  GROUP BY lang""",
 }

@@ -132,12 +132,60 @@ ORACLES = {
     "bm25_batch": f"{BATCH} SELECT query AS item_id, doc_id, rank, score FROM r WHERE rank <= 10",
     "sparse_dot_topk": f"WITH {ONE}, {PARTS} {_SPARSE} ORDER BY score DESC, doc_id LIMIT 50",
     "cosine_topk": f"{_COS} ORDER BY sim DESC, vec_id LIMIT 20",
-    "channel_breakdown": f"WITH {ONE}, {PARTS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_SPARSE})), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS r FROM ({_COS})), x AS (SELECT doc_id, round(sum(1e0 / (60e0 + r)), 9) AS rrf FROM (SELECT * FROM a WHERE r <= 60 UNION ALL SELECT * FROM b WHERE r <= 60) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20) SELECT doc_id, rrf, a.r AS sparse_rank, b.r AS dense_rank, CASE WHEN b.r IS NULL THEN 'sparse' WHEN a.r IS NULL THEN 'dense' ELSE 'hybrid' END AS channel FROM x LEFT JOIN (SELECT * FROM a WHERE r <= 60) a USING (doc_id) LEFT JOIN (SELECT * FROM b WHERE r <= 60) b USING (doc_id)",
-    "hybrid_rrf": f"WITH {ONE}, {PARTS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_SPARSE})), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS r FROM ({_COS})) SELECT doc_id, round(sum(1e0 / (60e0 + r)), 9) AS rrf FROM (SELECT * FROM a WHERE r <= 60 UNION ALL SELECT * FROM b WHERE r <= 60) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20",
+    "channel_breakdown": f"""
+WITH {ONE}, {PARTS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r
+  FROM ({_SPARSE})),
+b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS r
+  FROM ({_COS})),
+x AS (SELECT doc_id, round(sum(1e0 / (60e0 + r)), 9) AS rrf
+  FROM (SELECT *
+  FROM a
+  WHERE r <= 60
+  UNION ALL SELECT *
+  FROM b
+  WHERE r <= 60)
+  GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20) SELECT doc_id, rrf, a.r AS sparse_rank, b.r AS dense_rank, CASE WHEN b.r IS NULL THEN 'sparse' WHEN a.r IS NULL THEN 'dense' ELSE 'hybrid' END AS channel
+  FROM x
+  LEFT JOIN (SELECT *
+  FROM a
+  WHERE r <= 60) a USING (doc_id)
+  LEFT JOIN (SELECT *
+  FROM b
+  WHERE r <= 60) b USING (doc_id)""",
+    "hybrid_rrf": f"""
+WITH {ONE}, {PARTS}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r
+  FROM ({_SPARSE})),
+b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS r
+  FROM ({_COS})) SELECT doc_id, round(sum(1e0 / (60e0 + r)), 9) AS rrf
+  FROM (SELECT *
+  FROM a
+  WHERE r <= 60
+  UNION ALL SELECT *
+  FROM b
+  WHERE r <= 60)
+  GROUP BY doc_id
+  ORDER BY rrf DESC, doc_id LIMIT 20""",
     "df_table": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY term",
     "corpus_stats": f"SELECT count(*) AS n_docs, round(avg(CAST(len({TOK}) AS DOUBLE)), 6) AS avgdl FROM documents",
-    "matched_terms": f"SELECT doc_id, string_agg(term, ' ' ORDER BY term) AS terms FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) WHERE term IN (SELECT unnest(string_split('{QUERY}', ' '))) GROUP BY doc_id",
+    "matched_terms": f"""
+SELECT doc_id, string_agg(term, ' ' ORDER BY term) AS terms
+  FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term
+  FROM documents)
+  WHERE term IN (SELECT unnest(string_split('{QUERY}', ' ')))
+  GROUP BY doc_id""",
     "seeds_top2": f"{BATCH} SELECT query AS item_id, doc_id, rank AS rn FROM r WHERE rank <= 2",
-    "collapse_best": f"WITH {ONE}, {PARTS}, s AS ({_BM}), r AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rn FROM s JOIN documents USING (doc_id)) SELECT source, max(score) AS best_score, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rn) AS refs FROM r WHERE rn <= 3 GROUP BY source",
-    "dedupe_keep_max": f"WITH {ONE}, {PARTS}, s AS ({_BM}), k AS (SELECT source, doc_id, round(score * CASE lang WHEN 'en' THEN 1.3e0 WHEN 'fr' THEN 0.85e0 ELSE 0.6e0 END, 6) AS key FROM s JOIN documents USING (doc_id)) SELECT source, doc_id, key FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key DESC, doc_id) AS rn FROM k) WHERE rn = 1",
+    "collapse_best": f"""
+WITH {ONE}, {PARTS}, s AS ({_BM}),
+r AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rn
+  FROM s JOIN documents USING (doc_id)) SELECT source, max(score) AS best_score, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rn) AS refs
+  FROM r
+  WHERE rn <= 3
+  GROUP BY source""",
+    "dedupe_keep_max": f"""
+WITH {ONE}, {PARTS}, s AS ({_BM}),
+k AS (SELECT source, doc_id, round(score * CASE lang WHEN 'en' THEN 1.3e0 WHEN 'fr' THEN 0.85e0 ELSE 0.6e0 END, 6) AS key
+  FROM s JOIN documents USING (doc_id)) SELECT source, doc_id, key
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key DESC, doc_id) AS rn
+  FROM k)
+  WHERE rn = 1""",
 }

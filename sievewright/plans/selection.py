@@ -244,7 +244,7 @@ WITH t AS (
 SELECT conv_id, sentences, mean_chars, longest, coalesce(long_words, 0) AS long_words FROM g LEFT JOIN w USING (conv_id)""",
     "artifact_sources": f"""
 WITH {REPOSITORY}, b AS (
-  SELECT doc_id AS ref, source, lang, string_split(text, chr(10))[1] AS snippet FROM files WHERE regexp_matches(path, '{P.GENERATED}')
+  SELECT doc_id AS ref, source, lang, string_split(text, chr(10))[1] AS snippet FROM files WHERE regexp_matches(path, '{P.GENERATED}') AND NOT regexp_matches(path, '{P.DOCUMENTATION}')
 ), o AS (
   SELECT path, source, lang, text FROM files WHERE regexp_matches(path, '{P.IMPLEMENTATION}') AND NOT regexp_matches(path, '{P.DOCUMENTATION}') AND NOT regexp_matches(path, '{P.GENERATED}') AND NOT regexp_matches(path, '{P.TEST}')
 ), k AS (

@@ -10,7 +10,11 @@ from ..sources.tables import load
 
 DECLARATION = r"^[A-Z][a-z]+ (the|and|of|th)\b"
 #: SQL for the lines of each document; the supplied texts only have line feeds.
-LINES = "l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no, len(a) AS n FROM (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)))"
+LINES = """
+l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no, len(a) AS n
+  FROM (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a
+  FROM documents)))"""
 PATH = r"regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '^/+|/+$', '', 'g')"
 
 
@@ -159,20 +163,68 @@ _DECL = f"dcl AS (SELECT doc_id, no AS start, coalesce(lead(no) OVER (PARTITION
 ORACLES = {
     "line_chunks": f"WITH {LINES}, {_CHUNKS} SELECT * FROM c",
     "declaration_spans": f"WITH {LINES}, {_DECL} SELECT * FROM dcl",
-    "nearest_declaration": f"WITH {LINES}, m AS (SELECT doc_id, no, line, max(CASE WHEN regexp_matches(line, '{DECLARATION}') THEN no END) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN 40 PRECEDING AND CURRENT ROW) AS decl FROM l) SELECT doc_id, no, decl FROM m WHERE contains(line, '|') AND decl IS NOT NULL",
-    "scope_estimate": f"WITH {LINES}, c AS (SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents), k AS (SELECT CAST(sum(ceil(n / 30e0)) AS BIGINT) AS chunks FROM (SELECT DISTINCT doc_id, n FROM l)), m AS (SELECT *, greatest(10, CAST(floor(0.05e0 * chunks + 0.002e0 * files) AS BIGINT)) AS min_s FROM c, k) SELECT *, greatest(min_s + 10, CAST(floor(0.15e0 * chunks + 0.006e0 * files) AS BIGINT)) AS max_s FROM m",
-    "file_role_counts": f"SELECT CASE WHEN regexp_matches(p, '\\.(md|txt|rst|html)$') OR regexp_matches(p, '(^|/)docs?(/|$)') THEN 'documentation' WHEN regexp_matches(p, '(^|/)tests?(/|$)') THEN 'test' WHEN regexp_matches(p, '(^|/)[a-z]{{2}}/[0-9]+$') THEN 'implementation' ELSE 'other' END AS role, count(*) AS n FROM (SELECT lower({PATH}) AS p FROM pages) GROUP BY role",
+    "nearest_declaration": f"""
+WITH {LINES}, m AS (SELECT doc_id, no, line, max(CASE WHEN regexp_matches(line, '{DECLARATION}') THEN no END) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN 40 PRECEDING AND CURRENT ROW) AS decl
+  FROM l) SELECT doc_id, no, decl
+  FROM m
+  WHERE contains(line, '|') AND decl IS NOT NULL""",
+    "scope_estimate": f"""
+WITH {LINES}, c AS (SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes
+  FROM documents),
+k AS (SELECT CAST(sum(ceil(n / 30e0)) AS BIGINT) AS chunks
+  FROM (SELECT DISTINCT doc_id, n
+  FROM l)),
+m AS (SELECT *, greatest(10, CAST(floor(0.05e0 * chunks + 0.002e0 * files) AS BIGINT)) AS min_s
+  FROM c, k) SELECT *, greatest(min_s + 10, CAST(floor(0.15e0 * chunks + 0.006e0 * files) AS BIGINT)) AS max_s
+  FROM m""",
+    "file_role_counts": f"""
+SELECT CASE WHEN regexp_matches(p, '\\.(md|txt|rst|html)$') OR regexp_matches(p, '(^|/)docs?(/|$)') THEN 'documentation' WHEN regexp_matches(p, '(^|/)tests?(/|$)') THEN 'test' WHEN regexp_matches(p, '(^|/)[a-z]{{2}}/[0-9]+$') THEN 'implementation' ELSE 'other' END AS role, count(*) AS n
+  FROM (SELECT lower({PATH}) AS p
+  FROM pages)
+  GROUP BY role""",
     "repo_sketch_dirs": f"SELECT regexp_extract({PATH}, '^([^/]*/?[^/]?)', 1) AS dir, count(*) AS n FROM pages GROUP BY dir ORDER BY n DESC, dir LIMIT 20",
     "url_canonical": f"SELECT page_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120) AS slug, {PATH} AS path FROM pages",
-    "char_budget": "SELECT doc_id, used_chars FROM (SELECT doc_id, CAST(greatest(0, least(want, 24000 - coalesce(sum(want) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS used_chars FROM (SELECT doc_id, source, least(length(text), 2400) AS want FROM documents)) WHERE used_chars > 0",
+    "char_budget": """
+SELECT doc_id, used_chars
+  FROM (SELECT doc_id, CAST(greatest(0, least(want, 24000 - coalesce(sum(want) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS used_chars
+  FROM (SELECT doc_id, source, least(length(text), 2400) AS want
+  FROM documents))
+  WHERE used_chars > 0""",
     "stale_guidance": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND (contains(lower(text), 'idiot') OR contains(lower(text), 'password'))",
-    "decision_gate": "SELECT doc_id, true AS context_use, r <= 2 AS evidence_use FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 0) WHERE r <= 4",
-    "salient_line": f"WITH {LINES}, s AS (SELECT doc_id, no, round(0e0 + CASE WHEN contains(lower(line), 'thtion') THEN 2.2e0 ELSE 0e0 END + CASE WHEN contains(lower(line), 'onre') THEN 1.8e0 ELSE 0e0 END + CASE WHEN contains(lower(line), 'erin') THEN 1.2e0 ELSE 0e0 END, 3) AS score FROM l) SELECT doc_id, no, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no) AS r FROM s WHERE score > 0) WHERE r = 1",
-    "interval_overlap": f"WITH {LINES}, {_CHUNKS}, {_DECL} SELECT c.doc_id, line_start, start, least(line_end, \"end\") - greatest(line_start, start) + 1 AS lines FROM c JOIN dcl ON c.doc_id = dcl.doc_id AND start <= line_end AND \"end\" >= line_start",
-    "role_scores": "WITH x AS (SELECT doc_id, CASE WHEN contains(t, 'thtion') THEN 0.35e0 ELSE 0e0 END + CASE WHEN contains(t, 'onre') THEN 0.35e0 ELSE 0e0 END + CASE WHEN contains(t, 'error') THEN 1e0 ELSE 0.2e0 END AS l, CASE WHEN contains(p, 'en') THEN 1.4e0 ELSE 0e0 END AS path, CASE WHEN contains(p, 'src1') AND NOT contains(t, 'error') THEN -1.5e0 ELSE 0e0 END AS support FROM (SELECT doc_id, lower(text) AS t, lower(source || '/' || lang) AS p FROM documents)) SELECT doc_id, round(l, 3) AS local, path, support, round(l + path + support, 3) AS total, round(l + path + support, 3) >= 1.5e0 AS accepted FROM x",
-    "responsibility": "WITH x AS (SELECT doc_id, CASE WHEN contains(p, 'src2') THEN 3e0 ELSE 0e0 END + CASE WHEN contains(t, 'thtion') THEN 2.2e0 ELSE 0e0 END AS o, CASE WHEN contains(p, 'src1') THEN 2.5e0 ELSE 0e0 END + CASE WHEN contains(t, 'password') THEN 1.5e0 ELSE 0e0 END AS s FROM (SELECT doc_id, lower(text) AS t, lower(source) AS p FROM documents)), y AS (SELECT *, CASE WHEN o >= s + 1.2e0 THEN 'likely_owner' WHEN o >= 2e0 THEN 'possible_owner' WHEN s > 0 THEN 'support_only' ELSE 'possible_owner' END AS profile FROM x) SELECT doc_id, profile, round(o + CASE profile WHEN 'likely_owner' THEN 2e0 WHEN 'possible_owner' THEN 0.8e0 ELSE -5e0 END, 3) AS score FROM y",
+    "decision_gate": """
+SELECT doc_id, true AS context_use, r <= 2 AS evidence_use
+  FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r
+  FROM labels JOIN documents USING (doc_id)
+  WHERE quality = 1 AND toxic = 0)
+  WHERE r <= 4""",
+    "salient_line": f"""
+WITH {LINES}, s AS (SELECT doc_id, no, round(0e0 + CASE WHEN contains(lower(line), 'thtion') THEN 2.2e0 ELSE 0e0 END + CASE WHEN contains(lower(line), 'onre') THEN 1.8e0 ELSE 0e0 END + CASE WHEN contains(lower(line), 'erin') THEN 1.2e0 ELSE 0e0 END, 3) AS score
+  FROM l) SELECT doc_id, no, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no) AS r
+  FROM s
+  WHERE score > 0)
+  WHERE r = 1""",
+    "interval_overlap": f"""
+WITH {LINES}, {_CHUNKS}, {_DECL} SELECT c.doc_id, line_start, start, least(line_end, "end") - greatest(line_start, start) + 1 AS lines
+  FROM c JOIN dcl ON c.doc_id = dcl.doc_id AND start <= line_end AND "end" >= line_start""",
+    "role_scores": """
+WITH x AS (SELECT doc_id, CASE WHEN contains(t, 'thtion') THEN 0.35e0 ELSE 0e0 END + CASE WHEN contains(t, 'onre') THEN 0.35e0 ELSE 0e0 END + CASE WHEN contains(t, 'error') THEN 1e0 ELSE 0.2e0 END AS l, CASE WHEN contains(p, 'en') THEN 1.4e0 ELSE 0e0 END AS path, CASE WHEN contains(p, 'src1') AND NOT contains(t, 'error') THEN -1.5e0 ELSE 0e0 END AS support
+  FROM (SELECT doc_id, lower(text) AS t, lower(source || '/' || lang) AS p
+  FROM documents)) SELECT doc_id, round(l, 3) AS local, path, support, round(l + path + support, 3) AS total, round(l + path + support, 3) >= 1.5e0 AS accepted
+  FROM x""",
+    "responsibility": """
+WITH x AS (SELECT doc_id, CASE WHEN contains(p, 'src2') THEN 3e0 ELSE 0e0 END + CASE WHEN contains(t, 'thtion') THEN 2.2e0 ELSE 0e0 END AS o, CASE WHEN contains(p, 'src1') THEN 2.5e0 ELSE 0e0 END + CASE WHEN contains(t, 'password') THEN 1.5e0 ELSE 0e0 END AS s
+  FROM (SELECT doc_id, lower(text) AS t, lower(source) AS p
+  FROM documents)),
+y AS (SELECT *, CASE WHEN o >= s + 1.2e0 THEN 'likely_owner' WHEN o >= 2e0 THEN 'possible_owner' WHEN s > 0 THEN 'support_only' ELSE 'possible_owner' END AS profile
+  FROM x) SELECT doc_id, profile, round(o + CASE profile WHEN 'likely_owner' THEN 2e0 WHEN 'possible_owner' THEN 0.8e0 ELSE -5e0 END, 3) AS score
+  FROM y""",
     "neutral_order": "SELECT item_id, sha256(sha256('prompt') || '|' || CAST(item_id AS VARCHAR)) AS key FROM benchmark",
     "index_signature": "SELECT source, count(*) AS n, min(h) AS low, max(h) AS high FROM (SELECT source, md5(CAST(doc_id AS VARCHAR) || chr(10) || text) AS h FROM documents) GROUP BY source",
     "history_tail": "SELECT conv_id, turn, rn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6",
-    "request_type": r"SELECT CASE WHEN regexp_matches(lower(text), '\?') THEN 'question' WHEN regexp_matches(lower(text), '\b(the|and)\b') THEN 'statement' ELSE 'other' END AS kind, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY kind",
+    "request_type": r"""
+SELECT CASE WHEN regexp_matches(lower(text), '\?') THEN 'question' WHEN regexp_matches(lower(text), '\b(the|and)\b') THEN 'statement' ELSE 'other' END AS kind, count(*) AS n
+  FROM conversations
+  WHERE role = 'user'
+  GROUP BY kind""",
 }
