@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bitmap, bits_at, settle, slices, table, text_of
+from .shared import bitmap, bits_at, release, settle, slices, table, text_of
 
 MOST_WINDOW = 256
 BITMAP, KEY_BITMAP = 1 << 22, 1 << 25
+BLOCK = 1 << 18  # bytes that are hashed at once
 #: Window sizes in words: an item belongs to the largest that it reaches.
 SIZES = [1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128, 160, 200, MOST_WINDOW]
 
@@ -74,17 +75,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of all texts, and the words of each text: sums of letters times powers, taken for all words at
-    once as differences of one running sum."""
+    """A hash of each word of all texts, and the words of each text: sums of letters times powers, taken for all words of a
+    block at once as differences of one running sum. A block ends with a word."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    letters, up, down = _powers(1 << max(16, int(len(data)).bit_length()))
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * up[: len(data)])])
     ends = np.cumsum([len(x) + 1 for x in raw])
-    return _mix((run[end] - run[begin]) * down[begin]), np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(raw)).astype(np.int64)
+    out = np.empty(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):
+        to = max(k + 1, int(np.searchsorted(end, begin[k] + BLOCK, side="right")))
+        a, z = int(begin[k]), int(end[to - 1])
+        letters, up, down = _powers(1 << max(BLOCK.bit_length(), (z - a).bit_length()))
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data[a:z]] * up[: z - a])])
+        out[k:to] = (run[end[k:to] - a] - run[begin[k:to] - a]) * down[begin[k:to] - a]
+        k = to
+    return _mix(out), np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(raw)).astype(np.int64)
 
 
 def pair_keys(hashes: np.ndarray) -> np.ndarray:
@@ -187,8 +195,9 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, known, keyed, classes,
     hold an item's stretch, and the words from ``start`` on of any item around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         pairs, item_keys = np.frombuffer(known.value, np.uint64), np.frombuffer(keyed.value, np.uint64)
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             texts = part.column("text").to_pylist()
             h, counts = word_hashes(texts)
             if not len(h) or not classes:

@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, segment_sums, settle, slices, table, text_of
+from .shared import Growing, WordTable, held, segment_sums, settle, slices, table, text_of
 
 FAN = 16
 #: What the vocabulary's normalizer takes for white space; str.split() also takes the four separators.
@@ -96,9 +95,8 @@ class TokenIds:
         return self.ids.a[index], segment_sums(n, words)
 
 
-@lru_cache(maxsize=2)
 def token_ids(vocabulary: str) -> TokenIds:
-    return TokenIds(vocabulary)
+    return held(("token ids", vocabulary), lambda: TokenIds(vocabulary))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

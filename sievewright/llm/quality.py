@@ -11,6 +11,7 @@ features: scoring a text of any length is one sum over its words, with each dist
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, hash32, segment_sums, settle, slices, table, text_of
+from .shared import Growing, WordTable, hash32, held, segment_sums, settle, slices, table, text_of
 
 WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 17, 1 << 14, 1 << 12
 
@@ -191,10 +192,10 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = 2400, max_feature
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``docs`` (or with ``keep=False`` only its id) with ``score``: the chance of label 1, for whole texts. Null and empty
     texts have the model's bias as their score. Repeated rows and null ids keep a row each; no rows give none."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = held(("scorer", name), lambda: Scorer(sent.value))
         for part in slices(batches, text_col):
             values = scorer([x or "" for x in part.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values)], names=[*names, "score"])

@@ -90,6 +90,23 @@ def bits_at(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+_tables: dict = {}
+
+
+def held(key, make):
+    """What ``make()`` gives, kept in this worker for its next tasks. A worker keeps the tables of one operator at a time, so
+    that those of a job's stages never add up."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = make()
+    return _tables[key]
+
+
+def release() -> None:
+    """For tasks of operators that keep nothing."""
+    _tables.clear()
+
+
 class WordTable(dict):
     """Numbers the distinct words of a task's texts, so that what a word alone decides is computed once.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, slices, table, text_of
+from .shared import release, settle, slices, table, text_of
 
 BLOCKS = 7
 AGREE = 3
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)``: a signed 64-bit fingerprint for each row. Null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, "text"):
             fp = np.array([fingerprint(x) for x in part.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], names=["id", "fp"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bitmap, bits_at, settle, slices, table, text_of
+from .shared import bitmap, bits_at, release, settle, slices, table, text_of
 
 LENGTH = 400
 HALF = LENGTH // 2
@@ -127,6 +127,7 @@ def _find(stretch: int):
     """Anchors of all texts. Where a text goes on in a next stretch, a span that both hold comes as two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, "text", min(stretch, 1 << 19)):
             data, ends = _joined(part)
             cut = len(data) > stretch  # then the part is one text

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, segment_sums, slices, table, text_of
+from .shared import Growing, WordTable, held, segment_sums, slices, table, text_of
 
 
 class LongestMatch:
@@ -80,9 +79,8 @@ class WordCounts:
         self.n.extend([count(b" " + w.encode("utf-8", "surrogatepass")) for w in words])
 
 
-@lru_cache(maxsize=2)
 def word_counts(vocabulary: str) -> WordCounts:
-    return WordCounts(vocabulary)
+    return held(("word counts", vocabulary), lambda: WordCounts(vocabulary))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
