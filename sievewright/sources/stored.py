@@ -25,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: ``df`` written as Parquet and read again, so that what comes after it, and a lost executor, cost a
-    read."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    read. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
