@@ -60,7 +60,7 @@ def connections(edges: DataFrame) -> DataFrame:
     kind = F.when(F.col("edge_kind") == "calls", "control_flow").otherwise("dependency")
     verb = F.when(F.col("edge_kind") == "calls", "calls").otherwise(F.regexp_replace("edge_kind", "s+$", ""))
     label = F.concat_ws(" ", "source_symbol", verb, "target_symbol")
-    about = F.concat(F.lit("CodeGraph resolves a direct "), "edge_kind", F.lit(" relationship from "), "source_symbol", F.lit(" to "), "target_symbol", F.lit("."))
+    about = F.concat(F.lit("The graph has a direct "), "edge_kind", F.lit(" relationship from "), "source_symbol", F.lit(" to "), "target_symbol", F.lit("."))
     return edges.select(
         "grp", "ord", "source_ref", "target_ref", kind.alias("relationship_kind"), F.substring(label, 1, 100).alias("label"), F.substring(about, 1, 500).alias("description"), F.lit("direct").alias("grounding"), F.lit("high").alias("confidence")
     )

@@ -245,7 +245,7 @@ SELECT item_id, name, least(count(*), 50) AS n, min(path) AS first FROM f GROUP
 )
 SELECT item_id, ord, source_ref, target_ref, CASE edge_kind WHEN 'calls' THEN 'control_flow' ELSE 'dependency' END AS relationship_kind,
   source_symbol || ' ' || CASE edge_kind WHEN 'calls' THEN 'calls' ELSE regexp_replace(edge_kind, 's+$', '') END || ' ' || target_symbol AS label,
-  'CodeGraph resolves a direct ' || edge_kind || ' relationship from ' || source_symbol || ' to ' || target_symbol || '.' AS description
+  'The graph has a direct ' || edge_kind || ' relationship from ' || source_symbol || ' to ' || target_symbol || '.' AS description
 FROM u WHERE r = 1""",
     "valid_connections": f"{_EVIDENCE}{_SAID} SELECT item_id, ord, source_ref, target_ref, relationship_kind, grounding, confidence FROM valid",
     "evidence_coverage": f"""
