@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, checks, graphs, prompts, records, repository, roles, rounds, search, selection, texts
+from . import analytics, checks, expansion, graphs, prompts, records, repository, roles, rounds, search, selection, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | repository.QUERIES | roles.QUERIES | graphs.QUERIES | prompts.QUERIES | selection.QUERIES | records.QUERIES | checks.QUERIES
-ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | repository.ORACLES | roles.ORACLES | graphs.ORACLES | prompts.ORACLES | selection.ORACLES | records.ORACLES | checks.ORACLES
+QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | repository.QUERIES | roles.QUERIES | graphs.QUERIES | prompts.QUERIES | selection.QUERIES | records.QUERIES | expansion.QUERIES | checks.QUERIES
+ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | repository.ORACLES | roles.ORACLES | graphs.ORACLES | prompts.ORACLES | selection.ORACLES | records.ORACLES | expansion.ORACLES | checks.ORACLES
