@@ -48,6 +48,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the table that ``settle`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
