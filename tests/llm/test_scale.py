@@ -92,30 +92,6 @@ def test_texts_over_a_stretch(spark):
         assert bytes(r["kept"]).decode() == "".join(c for c, g in zip(t, gone, strict=True) if not g)
 
 
-def matched(a, b):
-    """Size of the largest order-keeping match of two forests, by trying all."""
-    if not a or not b:
-        return 0
-    best = max(matched(a[1:], b), matched(a, b[1:]))
-    return max(best, 1 + matched(a[0][1], b[0][1]) + matched(a[1:], b[1:])) if a[0][0] == b[0][0] else best
-
-
-def test_tree_match_is_the_largest():
-    rng = random.Random(10)
-
-    def forest(depth):
-        return [[rng.choice("xyz"), forest(depth - 1)] for _ in range(rng.randrange(4))] if depth else []
-
-    for _ in range(60):
-        a, b = forest(3), forest(3)
-        size, pairs = extract.tree_match(a, b)
-
-        def count(pairs):
-            return sum(1 + count(deeper) for *_, deeper in pairs)
-
-        assert size == matched(a, b) == count(pairs)
-
-
 def test_template_alone_decides(spark):
     """Boilerplate in plain elements without telling names, between and around the paragraphs, on pages of unlike trees."""
     rng = random.Random(11)
@@ -137,4 +113,4 @@ def test_template_alone_decides(spark):
 
 def test_inline_and_captions():
     page = "<article><p>one <img src=x> two<wbr>three <svg><path/></svg>four<br>five</p><figure><img src=y><figcaption>caption</figcaption></figure></article>"
-    assert extract.main_text(page, set()) == "one twothree four\nfive\ncaption"
+    assert [t for _, t, _ in extract.Page(page).candidates()] == ["one twothree four", "five", "caption"]
