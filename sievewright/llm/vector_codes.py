@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,11 @@ class Shape:
         return 1 if self.plain else self.most.bit_length() // LIMB + 1
 
 
-def integers(vectors: list, shape: Shape) -> np.ndarray:
-    """``floor(1024 * x)`` of each component, a row a vector, filled with zeros to whole parts."""
-    out = np.zeros((len(vectors), PARTS * shape.width), shape.kind)
-    for i, v in enumerate(vectors):
-        if len(v):
-            out[i, : len(v)] = np.floor(np.asarray(v, np.float64) * SCALE) if shape.plain else [whole(x) for x in v]
+def integers(values: np.ndarray, lengths: np.ndarray, shape: Shape) -> np.ndarray:
+    """``floor(1024 * x)`` of each component, a row a vector, filled with zeros to whole parts. ``values`` has the vectors in a row."""
+    out = np.zeros((len(lengths), PARTS * shape.width), shape.kind)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.floor(values * SCALE) if shape.plain else [whole(x) for x in values.tolist()]
     return out
 
 
@@ -131,7 +131,8 @@ def first_entries(rows: DataFrame, shape: Shape, entries: int = ENTRIES) -> list
     """The codebooks to begin with: the parts of the ``entries`` smallest ids. Null ids come last; of rows that repeat an id the
     lesser vector comes first."""
     found = rows.orderBy(F.col("id").asc_nulls_last(), "vector").select("vector").limit(entries).collect()
-    return np.split(integers([r["vector"] for r in found], shape), PARTS, axis=1)
+    values = np.array([x for r in found for x in r["vector"]], np.float64)
+    return np.split(integers(values, np.array([len(r["vector"]) for r in found], np.int64), shape), PARTS, axis=1)
 
 
 def _assigned(rows: DataFrame, shape: Shape, books: list[np.ndarray], moved: list[np.ndarray] | None) -> DataFrame:
@@ -146,7 +147,8 @@ def _assigned(rows: DataFrame, shape: Shape, books: list[np.ndarray], moved: lis
             for k in range(0, batch.num_rows, 2048):
                 some = batch.slice(k, 2048)
                 if moved is None:
-                    whole_ = integers(some.column("vector").to_pylist(), shape)
+                    vector = some.column("vector")
+                    whole_ = integers(vector.flatten().to_numpy(), pc.list_value_length(vector).to_numpy().astype(np.int64), shape)
                 else:
                     whole_ = _unpack(some.column("whole").to_pylist(), PARTS * shape.width, shape)
                     codes = np.frombuffer(b"".join(some.column("code").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64)
