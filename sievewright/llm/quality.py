@@ -189,20 +189,20 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = 2400, max_feature
     return train_on([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4"), r["label"]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``docs`` (or with ``keep=False`` only its id) with ``score``: the chance of label 1, for whole texts. Null and empty
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """``docs`` (or with ``keep=False`` only its id) with the column ``name``: the chance of label 1, for whole texts. Null and empty
     texts have the model's bias as their score. Repeated rows and null ids keep a row each; no rows give none."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of a fixed size
+    sent, model_key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("scorer", name), lambda: Scorer(sent.value))
+        scorer = held(("scorer", model_key), lambda: Scorer(sent.value))
         for part in slices(batches, text_col):
             values = scorer([x or "" for x in part.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values)], names=[*names, name])
 
-    names = [c for c in docs.columns if c != "score"] if keep else [id_col]
+    names = [c for c in docs.columns if c.lower() != name.lower()] if keep else [id_col]
     source = docs.select(*names) if keep else docs.select(id_col, text_of(docs, text_col).alias(text_col))
-    return source.mapInArrow(run, source.select(*names).withColumn("score", F.lit(0.0)).schema)
+    return source.mapInArrow(run, source.select(*names).withColumn(name, F.lit(0.0)).schema)
 
 
 def held_out(doc_id) -> F.Column:
