@@ -17,28 +17,35 @@ from sievewright.llm.shared import free_name, settle, table, text_of
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below its threshold go. Empty and null texts are scored as they are."""
+    """Documents that the classifier scores below its threshold go. Empty and null texts are scored as they are; all columns
+    of the rows that stay are those that came."""
     model = quality.quality_model(table(spark, sf_dir, "documents"), spark, sf_dir)
     mark = free_name(docs, "q_score")
-    scored = quality.score(docs.withColumn(mark, F.lit(0.0)).drop(mark), model, keep=True)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, model, keep=True, name=mark).where(F.col(mark) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go from the texts; every document stays."""
-    out = line_dedup.line_window_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    """Later occurrences of three-line windows go from the texts; every document stays. ``text`` and ``n_chars`` change, all
+    other columns are those that came, ``n_lines`` and ``n_removed`` among them."""
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    out = line_dedup.line_window_dedup(docs.withColumnsRenamed(aside))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id stays, of several such the one whose text has the
-    smallest hash; of null ids each group without another id keeps one."""
+    smallest hash, and of rows that repeat both the one whose other columns have it; of null ids each group without another id
+    keeps one."""
     mark = free_name(docs, "row_key")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of(docs)).alias("tk"))
     kept = simhash.representatives(docs.select(key.alias("doc_id"), "text")).select(F.col("id").alias("kept"))
     keyed = docs.withColumn(mark, key)
     whole = keyed.join(kept, keyed[mark] == kept["kept"], "left_semi")
-    return whole.dropDuplicates([mark]).select(*docs.columns)
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]  # maps have no hash
+    one = whole.groupBy(mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row"))
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
