@@ -12,6 +12,7 @@ from sievewright.llm import decontaminate, quality  # noqa: E402
 from .test_contracts import SF, given, plain_fingerprint  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MORE = ["score", "n_lines", "n_removed", "q_score", "kept", "tags"]
 
 
 def key(row):
@@ -81,10 +82,10 @@ def rows_of(df):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    """The supplied documents with nulls, empty texts, repeated rows and ids, and a column of a helper's name."""
+    """The supplied documents with nulls, empty texts, repeated rows and ids, and columns of helpers' and results' names."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS)
     more = [(None, None, None, None, None), (5, "", "en", "s", 0), (5, "a\nb\nc\nd", "en", "s", 7), (None, "x\na\nb\nc", "en", None, 7), (None, "x\na\nb\nc", "en", None, 7)]
-    return docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame(more, docs.schema)).selectExpr("*", "1 AS score")
+    return docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame(more, docs.schema)).selectExpr("*", "77.0D AS score", "-5 AS n_lines", "doc_id * 3 AS n_removed", "'q' AS q_score", "CAST(NULL AS STRING) AS kept", "array(source) AS tags")
 
 
 def test_stages_on_odd_rows(spark, odd):
@@ -106,6 +107,26 @@ def test_stages_on_odd_rows(spark, odd):
         assert stage(spark, odd.where("false"), SF).count() == 0
 
 
+def everything(df):
+    return Counter(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect())
+
+
+def test_extra_columns_come_back(spark, odd):
+    """All columns of what each stage keeps are those that came, except text and n_chars behind line dedup."""
+    before = everything(odd)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.simhash_stage, corpus_pipeline.decontamination_stage):
+        after = everything(stage(spark, odd, SF))
+        assert after and not after - before
+    cut = [c for c in odd.columns if c not in ("text", "n_chars")]
+    assert everything(corpus_pipeline.line_stage(spark, odd, SF).select(*cut)) == everything(odd.select(*cut))
+
+
+def test_rows_of_one_document_keep_the_same_one(spark):
+    rows = [(k % 3, "one text of a few words that many rows have", f"tag{k}", {"k": k}) for k in range(60)]
+    kept = {tuple(corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows[::step], "doc_id long, text string, tag string, extra map<string,int>").repartition(n), SF).select("doc_id", "tag").collect()) for step, n in ((1, 1), (-1, 7), (1, 13))}
+    assert len(kept) == 1
+
+
 def test_pipeline_in_a_row(spark):
     rows = rows_of(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = list(deduped_lines(list(kept_by_quality(rows, quality.quality_model(spark.read.parquet(f"{SF}/documents.parquet"), spark, SF)))))
