@@ -72,7 +72,7 @@ def synced(docs: DataFrame, root: str, known: dict[str, str], scope: str) -> Ind
     return save(docs, folder)
 
 
-def weights(index: Index, query_terms: DataFrame) -> DataFrame:
+def weights(index, query_terms: DataFrame) -> DataFrame:
     """``(query, key, term, qtf, idf, w)`` of the postings of ``query_terms(query, term, qtf)``; terms without any go.
 
     The terms' partitions prune the scan while the plan runs, as the small side is joined on ``part`` too.
@@ -85,12 +85,19 @@ def weights(index: Index, query_terms: DataFrame) -> DataFrame:
     return j.select("query", "key", "term", "qtf", idf(n, df).alias("idf"), tf_weight(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("avgdl")).alias("w"))
 
 
-def bm25(index: Index, query_terms: DataFrame) -> DataFrame:
-    """``(query, key, score, matched, terms)``: each distinct query term counts once."""
+def bm25(index, query_terms: DataFrame) -> DataFrame:
+    """``(query, key, score, matched)``: each distinct query term counts once."""
     per = weights(index, query_terms).groupBy("query", "key")
-    return per.agg(F.sum(F.col("idf") * F.col("w")).alias("score"), F.count(F.lit(1)).alias("matched"), F.array_sort(F.collect_list("term")).alias("terms")).where("score > 0")
+    return per.agg(F.sum(F.col("idf") * F.col("w")).alias("score"), F.count(F.lit(1)).alias("matched")).where("score > 0")
 
 
-def sparse_dot(index: Index, query_terms: DataFrame) -> DataFrame:
+def matched_terms(index, query_terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` with ``terms``, the query's terms that stand in each; only the postings of hits are gathered."""
+    own = query_terms.select("query", "term").withColumn("part", part(F.col("term"))).join(index.table("postings").select("part", "term", "key"), ["part", "term"])
+    listed = own.join(hits.select("query", "key"), ["query", "key"], "left_semi").groupBy("query", "key").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return hits.join(listed, ["query", "key"])
+
+
+def sparse_dot(index, query_terms: DataFrame) -> DataFrame:
     """``(query, key, score)``: repeated query terms count repeatedly."""
     return weights(index, query_terms).groupBy("query", "key").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("score"))

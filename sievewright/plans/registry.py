@@ -4,5 +4,18 @@ from __future__ import annotations
 
 from . import analytics, checks, expansion, graphs, prompts, records, repository, roles, rounds, search, selection, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | analytics.QUERIES | rounds.QUERIES | repository.QUERIES | roles.QUERIES | graphs.QUERIES | prompts.QUERIES | selection.QUERIES | records.QUERIES | expansion.QUERIES | checks.QUERIES
-ORACLES = search.ORACLES | texts.ORACLES | analytics.ORACLES | rounds.ORACLES | repository.ORACLES | roles.ORACLES | graphs.ORACLES | prompts.ORACLES | selection.ORACLES | records.ORACLES | expansion.ORACLES | checks.ORACLES
+MODULES = (search, texts, analytics, rounds, repository, roles, graphs, prompts, selection, records, expansion, checks)
+
+
+def merged(tables: list[dict]) -> dict:
+    """All entries; a name that two tables have is an error, as one of its queries would be lost."""
+    out: dict = {}
+    for table in tables:
+        if twice := out.keys() & table.keys():
+            raise ValueError(f"registered twice: {', '.join(sorted(twice))}")
+        out |= table
+    return out
+
+
+QUERIES = merged([m.QUERIES for m in MODULES])
+ORACLES = merged([m.ORACLES for m in MODULES])

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import chunks as C
+from ..operators import generations as G
 from ..operators import index as I
 from ..operators import search as S
 from ..sources.tables import REPOSITORY, load, repository
 from .search import ITEMS, PARTS
-from .shared import stored_index
+from .shared import index_documents, index_folder, stored_index
 from .texts import DECLARATION
 
 SYMBOL = r"^([A-Z][a-z]+) (?:the|and|of|th)\b"
@@ -69,25 +70,66 @@ def _terms(spark, d):
     return S.query_terms(load(spark, d, "benchmark"), "item_id", "text")
 
 
-def index_terms(spark, d):
-    """Document frequency, total count and idf of the stored index's terms."""
-    index = stored_index(spark, d)
+def _index_terms(index):
     tf = index.table("postings").groupBy("part", "term").agg(F.sum("tf").alias("tf"))
     j = tf.join(index.table("terms"), ["part", "term"]).crossJoin(F.broadcast(index.table("stats")))
     return j.select("term", "df", "tf", F.round(S.idf(F.col("n").cast("double"), F.col("df").cast("double")), 6).alias("idf"))
 
 
+def _index_search(spark, d, index, k):
+    hits = I.bm25(index, _terms(spark, d)).select("query", "key", F.round("score", 6).alias("score"))
+    hits = I.matched_terms(index, _terms(spark, d), S.top(hits, "query", k, F.desc("score"), F.col("key")))
+    return hits.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score", F.array_join("terms", " ").alias("terms"))
+
+
+def index_terms(spark, d):
+    """Document frequency, total count and idf of the stored index's terms."""
+    return _index_terms(stored_index(spark, d))
+
+
 def index_search(spark, d, k=10):
-    """BM25 over paths, file names and texts by the stored index, with the matched terms."""
-    hits = I.bm25(stored_index(spark, d), _terms(spark, d)).select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "terms")
-    return S.top(hits, "item_id", k, F.desc("score"), F.col("doc_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score", F.array_join("terms", " ").alias("terms"))
+    """BM25 over paths, file names and texts by the stored index, with the matched terms of the first hits."""
+    return _index_search(spark, d, stored_index(spark, d), k)
+
+
+def _earlier(spark, d):
+    """The documents as they may have been: some are missing, some have another text, some have gone since."""
+    now = index_documents(spark, d)
+    old = now.where("key % 100 <> 3").withColumn("text", F.when(F.col("key") % 100 == 7, F.lower(F.substring("text", 1, 200))).otherwise(F.col("text")))
+    return old.unionByName(now.where("key % 100 = 5").withColumn("key", -1 - F.col("key"))).drop("source")
+
+
+_synced: dict[tuple[str, str], G.Synced] = {}
+
+
+def synced_index(spark, d) -> G.Synced:
+    """The index of the earlier documents, brought to the present ones by a second generation."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _synced:
+        folder = index_folder(spark, d, "sync")
+        G.drop(spark, folder)
+        G.sync(_earlier(spark, d), folder)
+        _synced[at] = G.sync(index_documents(spark, d).drop("source"), folder)
+    return _synced[at]
 
 
 def index_sync(spark, d):
-    """The stored index's manifest against the corpus as it is: reuse holds where both are alike."""
-    now = I.signature(repository(spark, d).select(F.col("doc_id").alias("key"), I.document_text().alias("text")))
-    stored = stored_index(spark, d).table("manifest").select(F.col("n").alias("stored_n"), F.col("sign").alias("stored_sign"))
-    return now.crossJoin(F.broadcast(stored)).select(F.col("n").alias("files"), ((F.col("n") == F.col("stored_n")) & (F.col("sign") == F.col("stored_sign"))).alias("reusable"))
+    """What a sync had to tokenize and to end when files changed, and whether one more finds nothing to do."""
+    done = synced_index(spark, d)
+    again = G.sync(index_documents(spark, d).drop("source"), done.index.folder)
+    files = done.index.table("files").agg(F.count(F.lit(1)).alias("files"))
+    as_is = again.index.version == done.index.version and not again.tokenized and not again.dead
+    return files.select("files", F.lit(done.tokenized).cast("long").alias("tokenized"), F.lit(done.dead).cast("long").alias("ended"), F.lit(as_is).alias("reusable"))
+
+
+def synced_terms(spark, d):
+    """Terms of the index that followed its files: as those of one built anew."""
+    return _index_terms(synced_index(spark, d).index)
+
+
+def synced_search(spark, d, k=10):
+    """Ranks by the index that followed its files: as those of one built anew."""
+    return _index_search(spark, d, synced_index(spark, d).index, k)
 
 
 def filtered_search(spark, d, k=8, least=0.02):
@@ -139,7 +181,7 @@ def artifacts(spark, d):
     return g.withColumn("coverage", F.when(F.col("all_built"), "partial").otherwise("strong"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_rows, indexing_scope, file_roles, scoped_files, repo_sketch, representative_files, index_terms, index_search, index_sync, filtered_search, open_file, phase_paths, artifacts)}
+QUERIES = {f.__name__: f for f in (chunk_rows, indexing_scope, file_roles, scoped_files, repo_sketch, representative_files, index_terms, index_search, index_sync, synced_terms, synced_search, filtered_search, open_file, phase_paths, artifacts)}
 
 _LINES = """l AS (
   SELECT path, unnest(a) AS line, unnest(range(len(a))) AS no, len(a) AS n
@@ -236,7 +278,10 @@ WITH {POSTINGS}, s AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s
 )
 SELECT query AS item_id, doc_id, rank, score, terms FROM r WHERE rank <= 10""",
-    "index_sync": "SELECT count(*) AS files, true AS reusable FROM documents",
+    "index_sync": f"""
+WITH {REPOSITORY}, x AS (SELECT doc_id AS k, path || chr(10) || regexp_extract(path, '[^/]*$') || chr(10) || coalesce(text, '') AS t FROM files)
+SELECT count(*) AS files, count(*) FILTER (k % 100 = 3 OR k % 100 = 7 AND t <> lower(substr(t, 1, 200))) AS tokenized,
+  count(*) FILTER (k % 100 = 5) + count(*) FILTER (k % 100 = 7 AND t <> lower(substr(t, 1, 200))) AS ended, true AS reusable FROM x""",
     "filtered_search": f"""
 WITH {POSTINGS}, allowed AS (
   SELECT doc_id FROM (SELECT doc_id, path, {_ROLE} AS role, {_CATEGORY} AS category FROM files)
@@ -297,3 +342,4 @@ SELECT said, count(*) AS selected, count_if(built) AS built, bool_and(built) AS
   CASE WHEN bool_and(built) THEN 'partial' ELSE 'strong' END AS coverage
 FROM a GROUP BY said""",
 }
+ORACLES |= {"synced_terms": ORACLES["index_terms"], "synced_search": ORACLES["index_search"]}

@@ -15,7 +15,7 @@ LINK = 'href="([^"]*)"'
 HOST = "^[a-z]+://([^/?#]*)"
 
 
-def declaration_shortlist(spark, d, take=4, most=80):
+def weighted_declarations(spark, d, take=4, most=80):
     """Of each document the best declarations by weighted terms, terms in the header, and support lines in their span.
 
     Lines learn their declaration from a running window, so spans and lines need no interval join.
@@ -114,13 +114,13 @@ def cache_misses(spark, d):
     return j.groupBy("lang").agg(F.count("held").alias("hits"), F.count_if(F.col("held").isNull()).alias("misses"))
 
 
-QUERIES = {f.__name__: f for f in (declaration_shortlist, snippets, adaptive_rounds, link_resolution, source_plan_check, assessment_shortlist, policy_check, cache_misses)}
+QUERIES = {f.__name__: f for f in (weighted_declarations, snippets, adaptive_rounds, link_resolution, source_plan_check, assessment_shortlist, policy_check, cache_misses)}
 _SAID = ", ".join(f"count_if(contains(lower(line), '{t}')) AS {t}" for t in TERMS)
 _SCORE = " + ".join(["0e0", *(f"least({t}, 3) * {w}e0" for t, w in TERMS.items())])
 _BAND = ", ".join(f"count_if(rank <= {k}) AS n{k}" for k in (5, 10, 20))
 _TARGET = "regexp_replace(href, '^/+|/+$', '', 'g')"
 ORACLES = {
-    "declaration_shortlist": f"""
+    "weighted_declarations": f"""
 WITH {LINES}, m AS (SELECT *, max(CASE WHEN regexp_matches(line, '{DECLARATION}') THEN no END) OVER (PARTITION BY doc_id ORDER BY no) AS decl
   FROM l),
 s AS (SELECT doc_id, decl, {_SAID}, count_if(no = decl AND regexp_matches(lower(line), '{'|'.join(TERMS)}')) AS header, count_if(contains(line, '|')) AS support

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import generations as G
 from ..operators import index as I
 from ..sources.stored import shared_folder
 from ..sources.tables import repository
 
-_known: dict[str, str] = {}
+_known: dict[tuple[str, str], G.Generations] = {}
+
+
+def index_documents(spark: SparkSession, d: str):
+    """``(key, text, source)``: what is indexed of the supplied documents, and the stored file that holds each."""
+    docs = repository(spark, d, "_metadata.file_path AS stored_file")
+    return docs.select(F.col("doc_id").alias("key"), I.document_text().alias("text"), F.col("stored_file").alias("source"))
+
+
+def stored_index(spark: SparkSession, d: str) -> G.Generations:
+    """The index of the supplied documents in the shared folder, whichever session wrote it, brought to the documents as they are.
+
+    Whether they changed is told by names, sizes and times of the stored files; no text is read for that. The session looks
+    the index up once and goes on with it while these stay.
+    """
+    docs = index_documents(spark, d)
+    sources = G.source_signatures(docs)
+    at = spark.sparkContext.applicationId, d
+    if at not in _known or _known[at].sources != sources:
+        _known[at] = G.sync(docs, index_folder(spark, d), sources).index
+    return _known[at]
 
 
-def stored_index(spark: SparkSession, d: str) -> I.Index:
-    """The index of the supplied documents, written once and used again while their signature stays the same."""
-    docs = repository(spark, d).select(F.col("doc_id").alias("key"), I.document_text().alias("text"))
-    return I.synced(docs, shared_folder(spark), _known, f"{spark.sparkContext.applicationId} {d}")
+def index_folder(spark: SparkSession, d: str, name: str = "index") -> str:
+    """A folder whose name any session gives to the index of ``d``."""
+    return f"{shared_folder(spark)}/{name}-{hashlib.md5(d.encode()).hexdigest()}"
 
 
 def symbol_graph(spark: SparkSession, d: str) -> tuple:

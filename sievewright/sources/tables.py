@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    return df.selectExpr(*columns) if columns else df
 
 
 #: Folders under which the supplied documents stand as the files of a repository.
@@ -17,11 +17,12 @@ SUFFIX = {"en": ".ts", "de": ".py", "fr": ".js"}
 
 
 def repository(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """``(doc_id, path, text)``: the supplied documents as files, in a folder by their id, with a suffix by their language."""
+    """``(doc_id, path, text)`` and ``more`` (columns or ``expression AS name``): the supplied documents as files, in a folder by
+    their id, with a suffix by their language."""
     docs = load(spark, sf_dir, "documents", "doc_id", "source", "lang", "text", *more)
     folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.pmod("doc_id", F.lit(len(FOLDERS))) + 1).cast("int"))
     suffix = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in SUFFIX.items()], F.lit(".md"))
-    return docs.select("doc_id", F.concat(folder, F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), suffix).alias("path"), "text", *more)
+    return docs.select("doc_id", F.concat(folder, F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), suffix).alias("path"), "text", *(x.split(" AS ")[-1] for x in more))
 
 
 #: The same files in SQL.

@@ -37,7 +37,7 @@ def test_stored_index_is_used_again(spark, tmp_path):
     other = I.synced(docs.where("key < 3"), f"file://{tmp_path}", known, "s")
     assert other.folder != first.folder and first.table("stats").first()["n"] == 3
     q = spark.createDataFrame([(0, "beta", 2.0), (0, "none", 1.0)], "query int, term string, qtf double")
-    assert {(r["key"], tuple(r["terms"])) for r in I.bm25(first, q).collect()} == {(1, ("beta",)), (2, ("beta",))}
+    assert {(r["key"], tuple(r["terms"])) for r in I.matched_terms(first, q, I.bm25(first, q)).collect()} == {(1, ("beta",)), (2, ("beta",))}
 
 
 @pytest.mark.parametrize(
