@@ -11,6 +11,7 @@ rows, by name, size and time, then those of the rows of sources that did change.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -100,7 +101,7 @@ def source_signatures(df: DataFrame) -> dict[str, str]:
     for name in df.inputFiles():
         place, fs = _place(df.sparkSession, name)
         status = fs.getFileStatus(place)
-        out[name] = f"{status.getLen()} {status.getModificationTime()}"
+        out[re.sub(r"^(\w+):///", r"\1:/", name)] = f"{status.getLen()} {status.getModificationTime()}"
     return out
 
 
@@ -174,7 +175,8 @@ def sync(docs: DataFrame, folder: str, sources: dict[str, str] | None = None, mo
     if old and sources and old.sources == sources:
         return Synced(old, 0, 0)
     rows = docs.withColumn("sign", F.xxhash64("text").cast("string")) if "sign" not in docs.columns else docs.withColumn("sign", F.col("sign").cast("string"))
-    rows = rows if "source" in docs.columns else rows.withColumn("source", F.lit(None).cast("string"))
+    source = F.regexp_replace("source", r"^(\w+):///", "$1:/") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("source", source)
     if old is None:
         return _advance(spark, folder, None, rows, None, sources, -1)
     same = [s for s, sign in sources.items() if old.sources.get(s) == sign]
