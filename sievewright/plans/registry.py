@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, checks, expansion, graphs, prompts, records, repository, roles, rounds, search, selection, texts
+from . import analytics, checks, expansion, graphs, prompts, records, repository, roles, rounds, search, selection, texts, windows
 
-MODULES = (search, texts, analytics, rounds, repository, roles, graphs, prompts, selection, records, expansion, checks)
+MODULES = (search, texts, analytics, rounds, repository, roles, graphs, prompts, selection, records, expansion, checks, windows)
 
 
 def merged(tables: list[dict]) -> dict:
