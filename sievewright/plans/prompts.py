@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import terms as T
+from ..functions.text import lines as lines_of
 from ..functions.text import url_path
 from ..operators import index as I
 from ..operators import search as S
+from ..operators import substrings as X
+from ..sources.stored import stored
 from ..sources.tables import REPOSITORY, load, repository
 from .repository import index_search
-from .search import ITEMS, PARTS
+from .search import BATCH, ITEMS, PARTS, bm25_ranked
 from .shared import stored_index
 
 HREF = r'href="([^"]+)"'
 #: Words of the supplied prose that stand for those of messages.
 SPOKEN = r"\b(?:was|and|erin)\b"
+PROMPTED = r"\b(?:was|and|erin|the|of|und|die|et|de|la|en)\b"
 
 
 def _prompts(spark, d, last=6):
@@ -84,19 +88,32 @@ def route_bridge(spark, d, most=3):
     quoting page the first such route, of each route a few pages."""
     pages = load(spark, d, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     quoted = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all("html", F.lit(r'"(/[^"\s<>]*)"'), F.lit(1)), T.route)))
-    callers = pages.select("page_id", F.posexplode(quoted).alias("place", "route"))
-    served = load(spark, d, "documents", "doc_id", "text").select(F.explode(F.array_distinct(F.slice(T.identifiers(F.col("text")), 1, 40))).alias("word"), "doc_id")
-    handlers = served.groupBy(F.concat(F.lit("/"), "word").alias("route")).agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, most).alias("docs"))
-    first = callers.join(handlers, "route").withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where("r = 1")
-    return first.select("page_id", "route", F.array_join(F.transform("docs", lambda x: x.cast("string")), ",").alias("handlers"))
+    callers = stored(pages.select("page_id", F.posexplode(quoted).alias("place", "route")), "routes")
+    served = load(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(T.identifiers(F.col("text")))).alias("word"))
+    asked = served.select("doc_id", F.concat(F.lit("/"), "word").alias("route")).join(callers.select("route").distinct(), "route", "left_semi")
+    first = asked.withColumn("r", F.row_number().over(Window.partitionBy("route").orderBy("doc_id"))).where(F.col("r") <= most)
+    handlers = first.groupBy("route").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    one = callers.join(handlers, "route").withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where("r = 1")
+    return one.select("page_id", "route", F.array_join(F.transform("docs", lambda x: x.cast("string")), ",").alias("handlers"))
 
 
-def message_bridge(spark, d):
+def message_terms(spark, d):
     """Lines of conversations that sound like messages, and how many terms each has."""
     c = load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.message_terms(F.coalesce("text", F.lit("")), SPOKEN).alias("m"))
     return c.where("size(m) > 0").select("conv_id", F.col("turn").cast("long").alias("turn"), F.size("m").cast("long").alias("n"), F.md5(F.array_join("m", "\n")).alias("terms"))
 
 
+def message_bridge(spark, d, most=3, found=1):
+    """Other files that say an item's messages: of each file the first of the item's message terms that stands in a line, in
+    whatever case, and that line; files among the item's first hits are no others."""
+    asked = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.posexplode(T.message_terms(F.coalesce("text", F.lit("")), PROMPTED)).alias("place", "needle"))
+    lines = load(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("key"), F.posexplode(lines_of(F.col("text"))).alias("no", "line"))
+    known = bm25_ranked(spark, d, found).select(F.col("item_id").alias("id"), F.col("doc_id").alias("key"))
+    hits = X.capped(X.first_per_text(lines, asked).join(known, ["id", "key"], "left_anti"), most, "place", "key")
+    said = hits.join(asked, ["id", "place"])
+    return said.select(F.col("id").alias("item_id"), F.col("key").alias("doc_id"), (F.col("no") + 1).cast("long").alias("line"), F.col("needle").alias("term"))
+
+
 def second_pass(spark, d, files=4, words=18, k=5):
     """Code-context queries: each item's text with names and code-like terms of its first hits, ranked anew; the hits that
     only the second pass finds."""
@@ -122,7 +139,7 @@ def query_packages(spark, d, most=5):
     return items.select("item_id", "role", F.size(package).cast("long").alias("n"), F.element_at(package, -1).alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (prompt_evidence, prompt_objectives, text_terms, file_identifiers, page_references, reference_votes, route_bridge, message_bridge, second_pass, query_packages)}
+QUERIES = {f.__name__: f for f in (prompt_evidence, prompt_objectives, text_terms, file_identifiers, page_references, reference_votes, route_bridge, message_terms, message_bridge, second_pass, query_packages)}
 
 _IDS = lambda t: rf"list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*$'))"
 _UNIQUE = "list_transform(list_filter(list_transform({x}, lambda v, i: {{'v': v, 'i': i}}), lambda s: list_position({x}, s.v) = s.i), lambda s: s.v)"
@@ -206,7 +223,7 @@ WITH q AS (
 ), c AS (
   SELECT page_id, route, min(i) AS place FROM (SELECT page_id, unnest(a) AS route, unnest(range(len(a))) AS i FROM q) WHERE route <> '' AND NOT starts_with(route, '//') AND NOT regexp_matches(route, '[{{}}$]') GROUP BY ALL
 ), h AS (
-  SELECT '/' || word AS route, list_slice(list_sort(list(doc_id)), 1, 3) AS docs FROM (SELECT DISTINCT doc_id, unnest(list_slice({_IDS("text")}, 1, 40)) AS word FROM documents) GROUP BY word
+  SELECT '/' || word AS route, list_slice(list_sort(list(doc_id)), 1, 3) AS docs FROM (SELECT DISTINCT doc_id, unnest({_IDS("text")}) AS word FROM documents) GROUP BY word
 ), f AS (
   SELECT page_id, route, docs, row_number() OVER (PARTITION BY page_id ORDER BY place) AS r FROM c JOIN h USING (route)
 )
@@ -246,3 +263,28 @@ WITH roles AS (SELECT * FROM (VALUES {_PHRASES}) AS v(role, phrase)), i AS (
   SELECT item_id, role, list_slice({_UNIQUE.format(x="a")}, 1, 5) AS q FROM p
 )
 SELECT item_id, role, len(q) AS n, q[-1] AS last FROM u"""
+_TIDY = """regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^[ `"''.,;]+|[ `"''.,;]+$', '', 'g')"""
+_HEAD = lambda c: f"CASE WHEN contains(x, '{c}') AND trim(split_part(x, '{c}', 1)) <> '' THEN trim(split_part(x, '{c}', 1)) END"
+_MESSAGES = lambda table, key, spoken=SPOKEN: f"""forms AS (
+  SELECT {key}, flatten(list_transform(list_transform(
+      regexp_extract_all(coalesce(text, ''), '[`"'']([^`"''\n]{{8,120}})[`"'']', 1) || list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{spoken}')),
+      lambda x: {_TIDY}), lambda x: [x, {_HEAD(":")}, {_HEAD(".")}])) AS a FROM {table}
+), told AS (
+  SELECT {key}, list_filter(a, lambda x: x IS NOT NULL AND length(x) BETWEEN 8 AND 120 AND regexp_matches(x, '{spoken}')) AS a FROM forms
+), m AS (
+  SELECT {key}, list_slice({_UNIQUE.format(x="a")}, 1, 12) AS m FROM told
+)"""
+ORACLES["message_terms"] = f"""
+WITH said AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), {_MESSAGES("said", "conv_id, turn")}
+SELECT conv_id, turn, CAST(len(m) AS BIGINT) AS n, md5(array_to_string(m, chr(10))) AS terms FROM m WHERE len(m) > 0"""
+ORACLES["message_bridge"] = f"""{BATCH}, {_MESSAGES("benchmark", "item_id", PROMPTED)}, asked AS (
+  SELECT item_id, unnest(m) AS term, unnest(range(len(m))) AS place FROM m
+), line AS (
+  SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
+), hit AS (
+  SELECT item_id, doc_id, min({{'place': place, 'no': no}}) AS x FROM asked JOIN line ON contains(lower(line), lower(term))
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query = asked.item_id AND r.doc_id = line.doc_id AND rank <= 1) GROUP BY ALL
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY x.place, doc_id) AS rn FROM hit
+)
+SELECT k.item_id, doc_id, x.no AS line, term FROM k JOIN asked ON asked.item_id = k.item_id AND asked.place = x.place WHERE rn <= 3"""

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions import terms as T
 from ..functions.text import tokens
+from ..operators import fuzzy as X
+from ..operators import search as S
+from ..sources.stored import stored
 from ..sources.tables import REPOSITORY, load, repository
 from .repository import _LINES, index_search
 from .search import ITEMS, PARTS, TOKENS
@@ -89,20 +92,34 @@ def supported_signals(spark, d):
     return kept.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def entity_search(spark, d, most=3):
-    """Entities for each longer word of an item: declared names equal to it, else equal in lower case, else names that it
-    begins with, else the nearest names by edits among those with its first letter; the first way that finds any counts."""
-    words = load(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(T.identifiers(F.col("text")), lambda w: F.length(w) >= 5))).alias("term"))
-    words = words.join(F.broadcast(words.groupBy("item_id").agg(F.min("term").alias("term"))), ["item_id", "term"], "left_semi")
-    names = symbol_graph(spark, d)[0].groupBy("name").agg(F.count(F.lit(1)).alias("nodes"))
-    first = F.lower(F.substring("term", 1, 1))
-    j = words.join(names.withColumn("l", F.lower(F.substring("name", 1, 1))), first == F.col("l"))
-    low = F.lower("name") == F.lower("term")
-    way = F.when(F.col("name") == F.col("term"), 1).when(low, 2).when(F.lower("term").startswith(F.lower("name")), 3).otherwise(4)
-    s = j.select("item_id", "term", "name", "nodes", way.alias("way"), F.levenshtein(F.lower("term"), F.lower("name")).alias("edits"))
-    w = Window.partitionBy("item_id", "term")
-    best = s.withColumn("best", F.min("way").over(w)).where("way = best").withColumn("r", F.row_number().over(w.orderBy("edits", "name"))).where(F.col("r") <= most)
-    return best.select("item_id", "term", "name", F.col("way").cast("long").alias("way"), F.col("edits").cast("long").alias("edits"), "nodes")
+def _words(spark, d):
+    """``(item_id, term)``: the longer words of each item."""
+    return load(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(T.identifiers(F.col("text")), lambda w: F.length(w) >= 5))).alias("term"))
+
+
+def entity_search(spark, d, most=3, edits=2):
+    """Entities for each longer word of an item: declared names equal to it, else equal in lower case, else names of three
+    letters or more that it begins with, else names of files whose path says it, by BM25, else names at most two edits away; the
+    first way that finds any counts."""
+    words = stored(_words(spark, d), "words")
+    nodes = symbol_graph(spark, d)[0]
+    names = stored(nodes.groupBy("name").agg(F.count(F.lit(1)).alias("nodes")), "names").withColumn("low", F.lower("name"))
+    low = words.withColumn("low", F.lower("term"))
+    way = lambda df, n, rank: df.select("item_id", "term", "name", "nodes", F.lit(n).cast("long").alias("way"), rank.cast("double").alias("place"))
+    same = way(low.join(names, "low"), 1, F.lit(0)).withColumn("way", F.when(F.col("name") == F.col("term"), 1).otherwise(2).cast("long"))
+    heads = low.select("item_id", "term", F.explode(F.transform(F.sequence(F.lit(3), F.length("low") - 1), lambda n: F.substring("low", F.lit(1), n))).alias("low"))
+    begins = way(heads.join(names, "low"), 3, -F.length("name"))
+    paths = nodes.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set(F.regexp_extract("path", "^[^/]+/[^/]+", 0))), " ").alias("text"))  # folders are few
+    asked = words.select("term").distinct().select(F.col("term").alias("query"), F.lower("term").alias("term"), F.lit(1.0).alias("qtf"))
+    said = S.bm25(paths.select(F.col("name").alias("doc_id"), "text"), asked).select(F.col("query").alias("term"), F.col("doc_id").alias("name"), F.round("score", 6).alias("score"))
+    by_path = way(words.join(said, "term").join(names, "name"), 4, -F.col("score"))
+    near = X.near_words(low.select(F.col("low").alias("a")), names.select(F.col("low").alias("b")), edits).where("edits > 0")
+    fuzzy = way(low.join(near, F.col("low") == F.col("a")).drop("low").join(names, F.col("low") == F.col("b")), 5, F.col("edits"))
+    s = same.unionByName(begins).unionByName(by_path).unionByName(fuzzy)
+    first = s.groupBy("item_id", "term").agg(F.min("way").alias("way"))
+    w = Window.partitionBy("item_id", "term").orderBy("place", "name")
+    best = s.join(first, ["item_id", "term", "way"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return best.select("item_id", "term", "name", "way", F.levenshtein(F.lower("term"), F.lower("name")).cast("long").alias("edits"), "nodes")
 
 
 def embedding_inputs(spark, d):
@@ -167,18 +184,34 @@ WITH {_DECISIONS}, c AS (
 SELECT kind, value, count(*) AS documents FROM s WHERE value IS NOT NULL AND (kind = 'retrieval_terms' OR source NOT IN (SELECT source FROM c)) GROUP BY ALL""",
     "entity_search": f"""
 WITH {REPOSITORY}, {_LINES}, {GRAPH_SQL}, terms AS (
-  SELECT item_id, list_min(list_filter({_IDS("text")}, lambda x: length(x) >= 5)) AS term FROM benchmark
+  SELECT item_id, unnest(list_distinct(list_filter({_IDS("text")}, lambda x: length(x) >= 5))) AS term FROM benchmark
 ), names AS (
-  SELECT name, count(*) AS nodes FROM nodes GROUP BY name
+  SELECT name, count(*) AS nodes, list_distinct(list(regexp_extract(path, '^[^/]+/[^/]+'))) AS folders FROM nodes GROUP BY name
+), tok AS (
+  SELECT name, flatten(list_transform(folders, lambda y: {TOKENS.format("y")})) AS t FROM names
+), st AS (
+  SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM tok
+), post AS (
+  SELECT name, dl, t, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT name, CAST(len(t) AS DOUBLE) AS dl, unnest(t) AS t FROM tok) GROUP BY ALL
+), dfs AS (
+  SELECT t, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY t
+), bm AS (
+  SELECT name, t, round(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / greatest(avgdl, 1e0))), 6) AS score FROM post JOIN dfs USING (t), st
 ), s AS (
-  SELECT item_id, term, name, nodes, levenshtein(lower(term), lower(name)) AS edits, CASE WHEN name = term THEN 1 WHEN lower(name) = lower(term) THEN 2 WHEN starts_with(lower(term), lower(name)) THEN 3 ELSE 4 END AS way
-  FROM terms JOIN names ON lower(substr(term, 1, 1)) = lower(substr(name, 1, 1))
+  SELECT item_id, term, name, nodes, levenshtein(lower(term), lower(name)) AS edits, score,
+    CASE WHEN name = term THEN 1 WHEN lower(name) = lower(term) THEN 2 WHEN starts_with(lower(term), lower(name)) AND length(name) >= 3 THEN 3
+      WHEN score > 0 THEN 4 WHEN levenshtein(lower(term), lower(name)) <= 2 THEN 5 END AS way
+  FROM terms CROSS JOIN names LEFT JOIN bm USING (name) WHERE bm.t IS NULL OR bm.t = lower(term)
+  UNION ALL SELECT item_id, term, name, nodes, levenshtein(lower(term), lower(name)), NULL,
+    CASE WHEN name = term THEN 1 WHEN lower(name) = lower(term) THEN 2 WHEN starts_with(lower(term), lower(name)) AND length(name) >= 3 THEN 3 WHEN levenshtein(lower(term), lower(name)) <= 2 THEN 5 END
+  FROM terms CROSS JOIN names WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.name = names.name AND bm.t = lower(term))
 ), b AS (
-  SELECT *, min(way) OVER (PARTITION BY item_id, term) AS best FROM s
+  SELECT *, min(way) OVER (PARTITION BY item_id, term) AS best FROM s WHERE way IS NOT NULL
 ), k AS (
-  SELECT *, row_number() OVER (PARTITION BY item_id, term ORDER BY edits, name) AS r FROM b WHERE way = best
+  SELECT *, row_number() OVER (PARTITION BY item_id, term ORDER BY CASE way WHEN 3 THEN -length(name) WHEN 4 THEN -score WHEN 5 THEN edits ELSE 0 END, name) AS r
+  FROM (SELECT DISTINCT * FROM b WHERE way = best)
 )
-SELECT item_id, term, name, way, edits, nodes FROM k WHERE r <= 3""",
+SELECT item_id, term, name, CAST(way AS BIGINT) AS way, edits, nodes FROM k WHERE r <= 3""",
     "embedding_inputs": f"""
 WITH {REPOSITORY}, t AS (
   SELECT doc_id, path, text, {TOKENS.format("text")} AS t FROM files
