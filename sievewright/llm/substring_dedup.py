@@ -248,7 +248,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null unless ``keep_text``.
 
     Texts are UTF-8 bytes, null is empty; ``kept`` may be cut inside a character. Texts under LENGTH bytes stay. Rows that
-    repeat an id and a text are one document found twice: both get the result that one has. Null ids are ids. Extra
+    repeat an id and a text are documents each, so all bytes of such a text stand elsewhere too. Null ids are ids. Extra
     columns are ignored; an empty table gives no rows.
 
     Bitmaps of a fixed size keep rows out of shuffles that surely have no partner; equality joins decide about the rest.
@@ -266,6 +266,10 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = settle(_spread(classes, crowded, ["a"], "k", classes.count()).select("rep.*", "n", "lead", F.xxhash64(*span).alias("cls")), "split")
     whole = settle(_spread(mine, classes.where("members > 1"), span, "members", mine.count()).select("id", "tk", "first", "n"), "whole")
 
+    again = source.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("rows"), F.max(F.octet_length("text")).alias("bytes")).where((F.col("rows") > 1) & (F.col("bytes") >= LENGTH))
+    again = settle(again.select("id", "tk", F.lit(0).alias("first"), (F.col("bytes") - LENGTH + 1).cast("int").alias("n")), "again")  # documents that stand in several rows
+    whole = whole.unionByName(again)
+
     other = {"id": "id2", "tk": "tk2"}
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2"))
     of = lambda rows, *fields: rows.groupBy("id", "tk").agg(F.collect_list(F.struct(*fields)).alias("spans")).withColumnsRenamed(other)
@@ -276,14 +280,14 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = settle(listed.mapInArrow(_cells(stretch), f"id {kind}, tk long, first int, n int, full boolean, core long, cover long").distinct(), "cells")
     covers = cells.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "tk", "first", "n")).alias("rep"))
     covers = settle(covers, "covers")
-    mixed = covers.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
-    accepted = cells.join(covers.where("members > 1").select("core", "cover"), ["core", "cover"]).where("full").select("id", "tk", "first", "n")
-    rest = covers.join(mixed, "core").select("rep.*")
+    mixed = covers.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    accepted = _spread(cells.where("full"), covers.where("members > 1"), ["core", "cover"], "members", cells.count()).select("id", "tk", "first", "n")
+    rest = _spread(covers, mixed, ["core"], "k", covers.count()).select("rep.*")
     listed = texts.join(of(rest, "first", "n"), same).select("id", "tk", "text", "spans")
     strings = settle(listed.mapInArrow(_strings(stretch), f"id {kind}, tk long, first int, w1 long, w2 long"), "strings")
     place = F.struct("id", "tk", "first")  # cells of one text may overlap, so a string may come twice from one place
-    twice = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("NOT x <=> y").select("w1", "w2")
-    single = strings.join(twice, ["w1", "w2"]).select("id", "tk", "first", F.lit(1).alias("n"))
+    twice = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("k")).where("NOT x <=> y")
+    single = _spread(strings, twice, ["w1", "w2"], "k", strings.count()).select("id", "tk", "first", F.lit(1).alias("n"))
 
     spans = of(whole.union(accepted).union(single), "first", "n")
     out = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"

@@ -75,6 +75,9 @@ def test_substrings(spark, odd, none):
             if seen[b[i : i + 400]] > 1:
                 gone[i : i + 400] = True
         assert bytes(r["kept"]) == bytes(x for x, g in zip(b, gone, strict=True) if not g) and r["n_removed"] == gone.sum()
+    row = "".join(random.Random(3).choices("abcdefgh", k=900))
+    twice = spark.createDataFrame([(1, row), (1, row), (1, row[:300] + "x" + row[300:600]), (None, row[:399]), (None, row[:399])], "doc_id long, text string")
+    assert sorted(tuple(r)[1:4] for r in substring_dedup.repeated_substrings(twice).collect()) == [(399, 0, 0), (399, 0, 0), (601, 0, 0), (900, 900, 1), (900, 900, 1)]
     assert substring_dedup.repeated_substrings(odd).count() == len(ODD) and substring_dedup.repeated_substrings(none).count() == 0
 
 
