@@ -52,10 +52,10 @@ def call_files(spark, d):
 
 
 def exact_symbols(spark, d):
-    """Symbols that an item's text names exactly, with the files that declare them (the first fifty)."""
+    """Symbols that an item's text names exactly, how many files declare them and the first of these."""
     words = load(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
-    files = words.join(symbol_graph(spark, d)[0].select("name", "path").distinct(), "name").groupBy("item_id", "name").agg(F.slice(F.array_sort(F.collect_list("path")), 1, 50).alias("files"))
-    return files.select("item_id", "name", F.size("files").cast("long").alias("n"), F.element_at("files", 1).alias("first"))
+    files = words.join(symbol_graph(spark, d)[0].select("name", "path").distinct(), "name").groupBy("item_id", "name")
+    return files.agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
 
 
 def evidence_overlap(spark, d):
@@ -236,7 +236,7 @@ SELECT path, line, direction, string_agg(file, ',' ORDER BY file) AS files FROM
 ), f AS (
   SELECT DISTINCT item_id, name, path FROM words JOIN nodes USING (name)
 )
-SELECT item_id, name, least(count(*), 50) AS n, min(path) AS first FROM f GROUP BY ALL""",
+SELECT item_id, name, count(*) AS n, min(path) AS first FROM f GROUP BY ALL""",
     "evidence_overlap": f"{_EVIDENCE} SELECT * FROM touched",
     "evidence_edges": f"{_EVIDENCE} SELECT * FROM edge",
     "structural_connections": f"""

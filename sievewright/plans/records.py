@@ -83,11 +83,11 @@ def document_decisions(spark, d, context=4, evidence=2):
 
 
 def supported_signals(spark, d):
-    """Signals from decided documents (their first code-like term): those that touch a source in conflict, one whose documents
+    """Signals from decided documents (their code-like terms): those that touch a source in conflict, one whose documents
     are labelled both good and toxic, go unless they are mere retrieval terms."""
     x = _decisions(spark, d)
     conflict = x.groupBy("source").agg((F.max(F.lower("decision") == "accept") & F.max(F.col("decision") == "reject")).alias("c")).where("c").select("source")
-    s = x.select("doc_id", "source", F.get(T.code_terms(F.col("text")), F.lit(0)).alias("value"), F.when(F.col("doc_id") % 2 == 0, "retrieval_terms").otherwise("symbol_hints").alias("kind")).where("value IS NOT NULL")
+    s = x.select("doc_id", "source", F.explode(F.array_distinct(T.code_terms(F.col("text"), 1 << 30))).alias("value"), F.when(F.col("doc_id") % 2 == 0, "retrieval_terms").otherwise("symbol_hints").alias("kind"))
     kept = s.where("kind = 'retrieval_terms'").unionByName(s.where("kind <> 'retrieval_terms'").join(conflict, "source", "left_anti").select(*s.columns))
     return kept.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("documents"))
 
@@ -179,7 +179,7 @@ SELECT doc_id, relevance, CASE WHEN said IN ('accept', 'reject', 'uncertain') TH
 WITH {_DECISIONS}, c AS (
   SELECT source FROM dec GROUP BY source HAVING max(said = 'accept') AND max(said = 'reject')
 ), s AS (
-  SELECT source, list_filter({_IDS("text")}, lambda x: length(x) >= 5 AND regexp_matches(x, '[A-Z]') AND NOT list_contains({_BLOCKED}, lower(x)))[1] AS value, CASE WHEN doc_id % 2 = 0 THEN 'retrieval_terms' ELSE 'symbol_hints' END AS kind FROM dec
+  SELECT source, unnest(list_distinct(list_filter({_IDS("text")}, lambda x: length(x) >= 5 AND regexp_matches(x, '[A-Z]') AND NOT list_contains({_BLOCKED}, lower(x))))) AS value, CASE WHEN doc_id % 2 = 0 THEN 'retrieval_terms' ELSE 'symbol_hints' END AS kind FROM dec
 )
 SELECT kind, value, count(*) AS documents FROM s WHERE value IS NOT NULL AND (kind = 'retrieval_terms' OR source NOT IN (SELECT source FROM c)) GROUP BY ALL""",
     "entity_search": f"""

@@ -54,9 +54,9 @@ def appended(spark, d, most=12):
 
 
 def span_candidates(spark, d):
-    """Hits as whole files and as chunks that begin in their first lines; a file goes where one of its chunks is there."""
+    """Hits as whole files and as their chunks behind the first line; a file goes where one of its chunks is there."""
     h = _hits(spark, d).join(repository(spark, d).select("doc_id", "path"), "doc_id").select("item_id", "path", "rank")
-    c = C.chunks(repository(spark, d), DECLARATION).where("line_start > 1 AND line_start <= 25").select("path", "line_start")
+    c = C.chunks(repository(spark, d), DECLARATION).where("line_start > 1").select("path", "line_start")
     rows = h.select("item_id", "path", F.lit(True).alias("is_file"), F.lit(0).alias("line_start")).union(h.join(c, "path").select("item_id", "path", F.lit(False), "line_start"))
     return L.without_redundant_files(rows, ["item_id", "path"]).groupBy("item_id", "is_file").agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,10 +132,11 @@ def presentation_metrics(spark, d):
 
 
 def artifact_sources(spark, d):
-    """Built documents (those under build/) and where their first line comes from: of the documents of their source and
+    """Built documents (those under build/) and where their longest line comes from: of the documents of their source and
     language those that hold it, else those that share two terms with it."""
     f = repository(spark, d, "source", "lang")
-    built = f.where(P.file_role(F.col("path")) == "baseline_or_generated").select(F.col("doc_id").alias("ref"), F.concat("source", "lang").alias("target"), F.substring_index("text", "\n", 1).alias("snippet"))
+    longest = F.get(F.array_sort(F.transform(F.split("text", "\n"), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), F.lit(0))["x"]
+    built = f.where(P.file_role(F.col("path")) == "baseline_or_generated").select(F.col("doc_id").alias("ref"), F.concat("source", "lang").alias("target"), longest.alias("snippet"))
     others = f.where(P.file_role(F.col("path")) == "implementation")
     mapping = others.select(F.concat("source", "lang").alias("target"), F.col("path").alias("source_path")).withColumnRenamed("source_path", "source")
     t = L.source_trace(built, mapping, others.select(F.col("path").alias("source"), "text"))
@@ -179,7 +180,7 @@ SELECT item_id, list_has_all(b, a) AS subset, list_sort(a) = list_sort(b) AS per
 SELECT * FROM k WHERE rank <= 12""",
     "span_candidates": f"""
 {_H}, {_LINES}, x AS (
-  SELECT item_id, h.doc_id, c.line_start FROM h JOIN files USING (doc_id) JOIN c ON c.path = files.path AND c.line_start > 1 AND c.line_start <= 25
+  SELECT item_id, h.doc_id, c.line_start FROM h JOIN files USING (doc_id) JOIN c ON c.path = files.path AND c.line_start > 1
 )
 SELECT item_id, true AS is_file, count(*) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.item_id = h.item_id AND x.doc_id = h.doc_id) GROUP BY item_id
 UNION ALL SELECT item_id, false, count(*) FROM x GROUP BY item_id""",
@@ -244,7 +245,7 @@ WITH t AS (
 SELECT conv_id, sentences, mean_chars, longest, coalesce(long_words, 0) AS long_words FROM g LEFT JOIN w USING (conv_id)""",
     "artifact_sources": f"""
 WITH {REPOSITORY}, b AS (
-  SELECT doc_id AS ref, source, lang, string_split(text, chr(10))[1] AS snippet FROM files WHERE regexp_matches(path, '{P.GENERATED}') AND NOT regexp_matches(path, '{P.DOCUMENTATION}')
+  SELECT doc_id AS ref, source, lang, list_sort(list_transform(string_split(text, chr(10)), lambda x, i: (-length(x), i, x)))[1][3] AS snippet FROM files WHERE regexp_matches(path, '{P.GENERATED}') AND NOT regexp_matches(path, '{P.DOCUMENTATION}')
 ), o AS (
   SELECT path, source, lang, text FROM files WHERE regexp_matches(path, '{P.IMPLEMENTATION}') AND NOT regexp_matches(path, '{P.DOCUMENTATION}') AND NOT regexp_matches(path, '{P.GENERATED}') AND NOT regexp_matches(path, '{P.TEST}')
 ), k AS (
