@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators.contain import containing
+from ..operators.running import latest_before as latest_before_of
 from ..sources.tables import load
 from ..streaming import events as E
 from .search import BATCH, bm25_ranked
@@ -258,3 +259,23 @@ SELECT CASE WHEN a IS NULL THEN 'only_b' WHEN b IS NULL THEN 'only_a' ELSE 'both
     "record_fields": "SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.title')), ''), json_extract_string(props, '$.k'), event_type) AS label FROM events",
     "sessions_stream": f"SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n FROM ({_GAPS.format('< 1800000000')}) GROUP BY user_id, g",
 }
+
+
+def order_events(spark, d):
+    """What each order's customer last did before its date (users are customers by number, dates fall into the events' weeks), else what that user did first."""
+    orders = load(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).cast("long").alias("user_id"), F.expr("timestamp'2023-12-28 00:00:00' + make_dt_interval(datediff(o_orderdate, date'1995-01-01') % 40)").alias("ts"))
+    events = load(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", F.lpad("event_id", 12, "0"), "event_type").alias("event"))
+    return latest_before_of(orders, events, "user_id", "ts", "event").select("o_orderkey", "event", "found")
+
+
+QUERIES["order_events"] = order_events
+ORACLES["order_events"] = """
+WITH o AS (
+  SELECT o_orderkey, CAST(o_custkey % 200 AS BIGINT) AS user_id, TIMESTAMP '2023-12-28' + to_days(CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 40 AS INT)) AS ts FROM orders
+), e AS (
+  SELECT user_id, ts, max(lpad(CAST(event_id AS VARCHAR), 12, '0') || ' ' || event_type) AS event FROM events GROUP BY ALL
+), f AS (
+  SELECT user_id, arg_min(event, ts) AS head FROM e GROUP BY user_id
+)
+SELECT o.o_orderkey, coalesce(e.event, f.head) AS event, CASE WHEN e.event IS NOT NULL THEN 'before' WHEN f.head IS NOT NULL THEN 'first' ELSE 'none' END AS found
+FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.ts >= e.ts LEFT JOIN f ON f.user_id = o.user_id"""

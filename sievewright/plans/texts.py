@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.running import running_before
 from ..sources.tables import load
 
 DECLARATION = r"^[A-Z][a-z]+ (the|and|of|th)\b"
@@ -74,10 +75,9 @@ def url_canonical(spark, d):
 
 def char_budget(spark, d, each=2400, total=24000):
     """Characters that each document may use when a source's budget is spent in order."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     t = load(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.least(F.length("text"), F.lit(each)).cast("long").alias("want"))
-    before = F.coalesce(F.sum("want").over(w), F.lit(0))
-    return t.select("doc_id", F.greatest(F.lit(0), F.least(F.col("want"), F.lit(total) - before)).cast("long").alias("used_chars")).where("used_chars > 0")
+    spent = running_before(t, "source", ["doc_id"], "want")
+    return spent.select("doc_id", F.greatest(F.lit(0), F.least(F.col("want"), F.lit(total) - F.col("before"))).cast("long").alias("used_chars")).where("used_chars > 0")
 
 
 def stale_guidance(spark, d):
