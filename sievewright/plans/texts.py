@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.excerpts import aligned
 from ..operators.running import running_before
 from ..sources.tables import load
 
@@ -157,6 +158,16 @@ def request_type(spark, d):
     return load(spark, d, "conversations").where("role = 'user'").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def excerpt_alignment(spark, d):
+    """Where excerpts stand: of even documents every second line, indented and with a gap mark, in the document itself; of odd ones
+    the lines of the one before it."""
+    docs = load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", T.lines(F.col("text")).alias("a"))
+    half = F.transform(F.filter("a", lambda x, i: i % 2 == 1), lambda x: F.concat(F.lit("  "), x))
+    cited = docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.array(F.lit("...")), half).alias("e")).unionByName(docs.where("doc_id % 2 = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("e")))
+    j = cited.join(docs, "doc_id").withColumn("x", aligned(F.col("a"), F.col("e")))
+    return j.select("doc_id", F.col("x.first").cast("long").alias("first"), F.col("x.last").cast("long").alias("last"))
+
+
 QUERIES = {f.__name__: f for f in (line_chunks, declaration_spans, nearest_declaration, scope_estimate, file_role_counts, repo_sketch_dirs, url_canonical, char_budget, stale_guidance, decision_gate, salient_line, interval_overlap, role_scores, responsibility, neutral_order, index_signature, history_tail, request_type)}
 _CHUNKS = "c AS (SELECT doc_id, s AS line_start, least(s + 39, n) AS line_end FROM (SELECT doc_id, n, unnest(range(1, n + 1, 30)) AS s FROM (SELECT DISTINCT doc_id, n FROM l)))"
 _DECL = f"dcl AS (SELECT doc_id, no AS start, coalesce(lead(no) OVER (PARTITION BY doc_id ORDER BY no) - 1, n) AS \"end\" FROM l WHERE regexp_matches(line, '{DECLARATION}'))"
@@ -228,3 +239,19 @@ SELECT CASE WHEN regexp_matches(lower(text), '\?') THEN 'question' WHEN regexp_m
   WHERE role = 'user'
   GROUP BY kind""",
 }
+QUERIES["excerpt_alignment"] = excerpt_alignment
+ORACLES["excerpt_alignment"] = r"""
+WITH l AS (
+  SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
+), c AS (
+  SELECT doc_id, ['...'] || list_transform(list_filter(a, lambda x, i: i % 2 = 0), lambda x: '  ' || x) AS e FROM l WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id + 1, a FROM l WHERE doc_id % 2 = 0
+), t AS (
+  SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS a,
+    list_filter(list_transform(e, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND x NOT IN ('...', '// ...')) AS e FROM c JOIN l USING (doc_id)
+), f AS (
+  SELECT doc_id, list_reduce([{'line': '', 'pos': 0::BIGINT, 'head': 0::BIGINT}] || list_transform(e, lambda x: {'line': x, 'pos': 0::BIGINT, 'head': 0::BIGINT}),
+    lambda s, x: {'line': '', 'pos': CASE WHEN s.pos < 0 OR coalesce(list_position(a[s.pos + 1:], x.line), 0) = 0 THEN -1 ELSE s.pos + list_position(a[s.pos + 1:], x.line) END,
+      'head': CASE WHEN s.head <> 0 THEN s.head WHEN s.pos < 0 OR coalesce(list_position(a[s.pos + 1:], x.line), 0) = 0 THEN -1 ELSE s.pos + list_position(a[s.pos + 1:], x.line) END}) AS r FROM t
+)
+SELECT doc_id, CASE WHEN r.pos > 0 THEN r.head END AS first, CASE WHEN r.pos > 0 THEN r.pos END AS last FROM f"""

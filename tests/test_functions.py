@@ -145,3 +145,27 @@ def test_decoding():
     for code in ("utf-16", "utf-16-le", "utf-16-be"):
         assert files._text(("plain text " * 9).encode(code)) == "plain text " * 9
     assert files._text(b"\0\0\0\0\0a\0\0\0") is None
+
+
+def test_excerpts_stand_where_a_greedy_loop_finds_them(spark):
+    import random
+
+    from sievewright.functions.excerpts import aligned
+
+    rng = random.Random(2)
+    line = lambda: rng.choice(["a", " a", "b  ", "c", "", "...", "// ...", "d"])
+    rows = [(k, [line() for _ in range(rng.randrange(9))], [line() for _ in range(rng.randrange(5))]) for k in range(300)]
+
+    def plain(full, excerpt):
+        at, first = 0, None
+        said = [x.strip() for x in excerpt if x.strip() and x.strip() not in ("...", "// ...")]
+        for x in said:
+            hit = next((i for i in range(at, len(full)) if full[i].strip() == x), None)
+            if hit is None:
+                return None
+            first, at = first or hit + 1, hit + 1
+        return (first, at) if said else None
+
+    df = spark.createDataFrame(rows, "k int, f array<string>, e array<string>")
+    got = {r["k"]: r["x"] and tuple(r["x"]) for r in df.select("k", aligned(F.col("f"), F.col("e")).alias("x")).collect()}
+    assert got == {k: plain(f, e) for k, f, e in rows}
