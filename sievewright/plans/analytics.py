@@ -10,6 +10,7 @@ from ..operators.contain import containing
 from ..operators.running import latest_before as latest_before_of
 from ..sources.tables import load
 from ..streaming import events as E
+from ..streaming.deadlines import batch_deadlines
 from .search import BATCH, bm25_ranked
 
 
@@ -279,3 +280,21 @@ WITH o AS (
 )
 SELECT o.o_orderkey, coalesce(e.event, f.head) AS event, CASE WHEN e.event IS NOT NULL THEN 'before' WHEN f.head IS NOT NULL THEN 'first' ELSE 'none' END AS found
 FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.ts >= e.ts LEFT JOIN f ON f.user_id = o.user_id"""
+
+
+def source_deadlines(spark, d):
+    """Users of a day as sources with six hours: results in time and whether a purchase finished them; the streaming form of the
+    same rows is :func:`..streaming.deadlines.with_deadlines`."""
+    e = load(spark, d, "events", "user_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = batch_deadlines(e, "purchase", 360)
+    return s.select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("deadline").alias("deadline_us"), "results", F.unix_micros("last").alias("last_us"), "status")
+
+
+QUERIES["source_deadlines"] = source_deadlines
+ORACLES["source_deadlines"] = """
+WITH b AS (
+  SELECT *, min(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS started FROM events
+)
+SELECT user_id, epoch_us(started) AS started_us, epoch_us(started + INTERVAL 6 HOURS) AS deadline_us, count(*) AS results, epoch_us(max(ts)) AS last_us,
+  CASE WHEN bool_or(event_type = 'purchase') THEN 'complete' ELSE 'failed' END AS status
+FROM b WHERE ts <= started + INTERVAL 6 HOURS AND started + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY user_id, started"""

@@ -5,11 +5,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.operators import graph
 from sievewright.plans import registry
 from sievewright.sources.tables import read_jsonl
-from sievewright.streaming import events
+from sievewright.streaming import deadlines, events
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,6 +64,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [r for r in batch if r[0] != 7]  # the newest is still open
 
 
+def test_deadlines_of_a_stream_equal_the_batch(spark, tmp_path):
+    df = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").where("user_id < 12")
+    for k in range(3):  # in the order of time, a file a batch
+        df.where(f"pmod(datediff(ts, date'2024-01-01') div 10, 3) = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    build = lambda stream: deadlines.with_deadlines(stream, "purchase", 360)
+    events.run_once(spark, f"{tmp_path}/in", "user_id long, ts timestamp, event_type string", build, f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    want = sorted(map(tuple, deadlines.batch_deadlines(df, "purchase", 360).select("user_id", "day", "started", "deadline", "results", "last", "status").collect()))
+    assert got == want and {r[-1] for r in want} == {"complete", "failed"}
+
+
 def test_jsonl_skips_malformed(spark, tmp_path):
     with open(os.path.join(tmp_path, "a.json"), "w") as f:
         f.write('{"a": 1}\n\nnot json\n{"a": 2}\n')
