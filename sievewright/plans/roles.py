@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import roles as R
 from ..operators import index as I
 from ..operators import search as S
+from ..sources.stored import stored
 from ..sources.tables import load, repository
 from .repository import _LINES
 from .search import ITEMS, PARTS
@@ -28,7 +29,8 @@ def _candidates(spark, d, k=8):
 
 
 def _profiled(spark, d):
-    return R.profiled(_candidates(spark, d), R.role_table(spark))
+    """Candidates with their profiles, stored: what follows reads the columns that it needs, texts only where it scores them."""
+    return stored(R.profiled(_candidates(spark, d), R.role_table(spark)), "candidates")
 
 
 def _anchors(profiled):
@@ -43,7 +45,7 @@ def _supported(spark, d):
     nodes, edges = symbol_graph(spark, d)
     at = lambda x, y: nodes.select(F.col("id").alias(x), F.col("path").alias(y))
     links = edges.join(at("src", "a"), "src").join(at("dst", "b"), "dst").select("a", "b", (F.col("kind") == "calls").alias("call"))
-    links = links.union(links.select("b", "a", "call")).groupBy("a", "b").agg(F.max("call").alias("call"), F.min("call").alias("only"))
+    links = stored(links.union(links.select("b", "a", "call")).groupBy("a", "b").agg(F.max("call").alias("call"), F.min("call").alias("only")), "links")
     anchors = _anchors(profiled)
     pairs = profiled.select("item_id", "role", "doc_id", "path", F.explode("anchors").alias("anchor_role")).join(anchors, ["item_id", "anchor_role"])
     near = F.when(F.col("anchor") != F.col("path"), P.prefix_depth(F.col("path"), F.col("anchor"))).otherwise(0)
@@ -55,7 +57,7 @@ def _supported(spark, d):
 
 def _scored(spark, d):
     c = R.validated(_supported(spark, d)).withColumn("validation", F.col("total"))
-    return R.responsibility(c)
+    return stored(R.responsibility(c), "scored")
 
 
 def role_validation(spark, d):
