@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import adaptive, analytics, checks, expansion, graphs, prompts, records, repository, roles, rounds, search, selection, texts, windows
+from . import adaptive, analytics, checks, constants, expansion, graphs, prompts, records, repository, roles, rounds, search, selection, texts, windows
 
-MODULES = (search, texts, analytics, rounds, repository, roles, graphs, prompts, selection, records, expansion, checks, windows, adaptive)
+MODULES = (search, texts, analytics, rounds, repository, roles, graphs, prompts, selection, records, expansion, checks, windows, adaptive, constants)
 
 
 def merged(tables: list[dict]) -> dict:

@@ -169,3 +169,13 @@ def test_excerpts_stand_where_a_greedy_loop_finds_them(spark):
     df = spark.createDataFrame(rows, "k int, f array<string>, e array<string>")
     got = {r["k"]: r["x"] and tuple(r["x"]) for r in df.select("k", aligned(F.col("f"), F.col("e")).alias("x")).collect()}
     assert got == {k: plain(f, e) for k, f, e in rows}
+
+
+def test_constants_lead_to_documents(spark):
+    from sievewright.operators import constants as K
+
+    code = "import x\nconst GUIDE_PATH: string = join(root, \"docs\", 'Guide.MD');\nlet GUIDE_PATH = 'other.md'\nOTHER=\"conf/app.json\"\n  var SHORT = 'guide.md'\nAB = 'guide.md'"
+    files = [("src/a.ts", code), ("src/b.ts", "GUIDE_PATH = 1"), ("docs/guide.md", "text"), ("conf/app.json", "{}"), ("null.ts", None)]
+    selected = [("a1", "src/a.ts", "use GUIDE_PATH and OTHER, AB"), ("a2", "src/a.ts", "SHORT SHORT"), ("b", "src/b.ts", "GUIDE_PATH"), ("g", "docs/guide.md", "GUIDE_PATH"), ("j", "conf/app.json", ""), ("n", "null.ts", None), ("x", "src/none.ts", "OTHER")]
+    got = {tuple(r) for r in K.document_references(spark.createDataFrame(selected, "ref string, path string, snippet string"), spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {("a1", "g", "GUIDE_PATH", "Guide.MD"), ("a1", "j", "OTHER", "app.json"), ("a2", "g", "SHORT", "guide.md")}
