@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import stored
 
+from ..sources.stored import stored
+
 
 def reach(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
     """``(root, node, depth)`` of the nodes that ``edges(src, dst)`` reach from ``roots(root)``, least depth first; all that there
@@ -100,14 +102,18 @@ def round_robin(hits: DataFrame, cap: int = 12) -> DataFrame:
 
 
 def diverse(candidates: DataFrame, take: int = 4) -> DataFrame:
-    """Of ``(grp, ref, path, score)`` greedily the best score less a penalty for paths and folders that are taken."""
+    """``(grp, rank, ref)``: of ``(grp, ref, path, score)`` greedily the best score less 2.5 for each taken one of its path and 0.7 for
+    each of its first folder; of equals the higher score, then the lower ref.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, out = pdf.sort_values(["score", "ref"], ascending=[False, True]).to_dict("records"), []
-        while rest and len(out) < take:
-            value = lambda c: c["score"] - sum(2.5 * (c["path"] == o["path"]) + 0.7 * (c["path"].split("/")[0] == o["path"].split("/")[0]) for o in out)
-            best = max(range(len(rest)), key=lambda i: (value(rest[i]), -i))
-            out.append(rest.pop(best))
-        return pd.DataFrame({"grp": [o["grp"] for o in out], "rank": range(1, len(out) + 1), "ref": [o["ref"] for o in out]})
-
-    return candidates.groupBy("grp").applyInPandas(run, "grp string, rank int, ref long")
+    Each pick is an aggregation over all candidates, combined before the shuffle, against the few that are taken; so a group of
+    any size is no task of its own.
+    """
+    folder = lambda c: F.split(c, "/")[0]
+    some = candidates.select("grp", "ref", "path", "score")
+    taken = some.select("grp").distinct().withColumn("picks", F.array().cast(f"array<struct<ref:{some.schema['ref'].dataType.simpleString()},path:string>>"))
+    for _ in range(take):
+        left = some.join(taken, "grp").where(~F.exists("picks", lambda p: p["ref"] == F.col("ref")))
+        penalty = F.aggregate("picks", F.lit(0.0), lambda s, p: s + F.when(p["path"] == F.col("path"), 2.5).otherwise(0.0) + F.when(folder(p["path"]) == folder(F.col("path")), 0.7).otherwise(0.0))
+        best = left.groupBy("grp").agg(F.max_by(F.struct("ref", "path"), F.struct(F.round(F.col("score") - penalty, 6).alias("v"), F.col("score"), (-F.col("ref")).alias("r"))).alias("pick"))
+        taken = stored(taken.join(best, "grp", "left").select("grp", F.array_compact(F.concat("picks", F.array("pick"))).alias("picks")), "picks")
+    return taken.select("grp", F.posexplode("picks").alias("rank", "pick")).select("grp", (F.col("rank") + 1).alias("rank"), "pick.ref")

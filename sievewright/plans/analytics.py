@@ -90,10 +90,7 @@ def round_robin_select(spark, d):
 
 def diverse_select(spark, d):
     """Four parts per brand that differ in type and container family."""
-    # of each path the dearest four: four picks never reach a fifth
-    w = Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
-    c = load(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 4")
-    return G.diverse(c.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ref"), F.regexp_replace("p_type", " ", "/").alias("path"), (F.col("p_retailprice") / 1000.0).alias("score")))
+    return G.diverse(load(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ref"), F.regexp_replace("p_type", " ", "/").alias("path"), (F.col("p_retailprice") / 1000.0).alias("score")))
 
 
 def _events(spark, d):
@@ -298,3 +295,17 @@ WITH b AS (
 SELECT user_id, epoch_us(started) AS started_us, epoch_us(started + INTERVAL 6 HOURS) AS deadline_us, count(*) AS results, epoch_us(max(ts)) AS last_us,
   CASE WHEN bool_or(event_type = 'purchase') THEN 'complete' ELSE 'failed' END AS status
 FROM b WHERE ts <= started + INTERVAL 6 HOURS AND started + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY user_id, started"""
+
+
+def _diverse_sql(take: int) -> str:
+    """The picks one after another, each against those before it."""
+    steps = ["c AS (SELECT p_brand AS grp, p_partkey AS ref, replace(p_type, ' ', '/') AS path, p_retailprice / 1000e0 AS score FROM part)"]
+    for k in range(1, take + 1):
+        less = "".join(f" - CASE WHEN p{j}.path = c.path THEN 2.5e0 ELSE 0e0 END - CASE WHEN split_part(p{j}.path, '/', 1) = split_part(c.path, '/', 1) THEN 0.7e0 ELSE 0e0 END" for j in range(1, k))
+        joins = "".join(f" JOIN p{j} ON p{j}.grp = c.grp" for j in range(1, k))
+        apart = "".join(f" AND c.ref <> p{j}.ref" for j in range(1, k))
+        steps.append(f"p{k} AS (SELECT c.grp, c.ref, c.path, {k} AS rank FROM c{joins} WHERE true{apart} QUALIFY row_number() OVER (PARTITION BY c.grp ORDER BY round(c.score{less}, 6) DESC, c.score DESC, c.ref) = 1)")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT grp, rank, ref FROM p{k}" for k in range(1, take + 1))
+
+
+ORACLES["diverse_select"] = _diverse_sql(4)

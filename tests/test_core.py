@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 
 import duckdb
 import pytest
@@ -48,6 +49,21 @@ def test_round_robin_shares_refs(spark):
     assert [(r["role"], r["ref"]) for r in graph.round_robin(h).orderBy("rank").collect()] == [("a", 10), ("b", 30), ("a", 20)]
 
 
+def test_diverse_equals_a_greedy_loop(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("gh"), k, f"{rng.choice('ab')}/{rng.choice('xyz')}", rng.randrange(40) / 10) for k in range(60)] + [("one", 1, "a/x", 1.0)]
+    got = sorted(map(tuple, graph.diverse(spark.createDataFrame(rows, "grp string, ref long, path string, score double")).collect()))
+    want = []
+    for g in ("g", "h", "one"):
+        rest, out = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1])), []
+        while rest and len(out) < 4:
+            value = lambda r: round(r[3] - sum(2.5 * (r[2] == o[2]) + 0.7 * (r[2][0] == o[2][0]) for o in out), 6)  # noqa: B023, E731
+            best = max(range(len(rest)), key=lambda i: (value(rest[i]), -i))
+            out.append(rest.pop(best))
+            want.append((g, len(out), out[-1][1]))
+    assert got == want
+
+
 def test_reach_with_cycle(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src int, dst int")
     got = graph.reach(e, spark.createDataFrame([(1,), (9,)], "root int"))
