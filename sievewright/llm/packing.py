@@ -38,7 +38,7 @@ class TokenIds:
     ASCII words in lower case (so the vocabulary's normalizer has it), without one sign at the end of letters (a token
     of its own)."""
 
-    def __init__(self, vocabulary: str, limit: int = 600_000):
+    def __init__(self, vocabulary: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)

@@ -124,7 +124,7 @@ class WordTable(dict):
     holds more than ``limit`` words, which bounds its memory and changes no result.
     """
 
-    def __init__(self, fill, empty, limit: int = 250_000):
+    def __init__(self, fill, empty, limit: int = 100_000):
         super().__init__()
         self.fill, self.empty, self.limit, self.fresh = fill, empty, limit, []
 
