@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import index as I
 from ..operators import search as S
+from ..operators import vectors as V
 from ..sources.tables import REPOSITORY, load
-from .shared import stored_index
+from .shared import index_folder, stored_index
 
 QUERY = "the thtion and onre thtion erin"
 TOKENS = "[lower(x) for x in regexp_extract_all({}, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')]"
@@ -123,6 +124,40 @@ def dedupe_keep_max(spark, d):
     return S.top(s, "source", 1, F.desc("key"), F.col("doc_id")).select("source", "doc_id", "key")
 
 
+LISTS = 16
+
+
+def _collection(spark, d):
+    """The supplied vectors in inverted lists, stored once a session."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _collections:
+        _collections[at] = V.save(load(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), index_folder(spark, d, "vectors"), LISTS)
+    return _collections[at]
+
+
+_collections: dict[tuple[str, str], V.Collection] = {}
+
+
+def _item_vectors(spark, d):
+    """A query vector for each item: the vector of its number."""
+    v = load(spark, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("q"))
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("query")).join(v, "query")
+
+
+def vector_topk(spark, d, k=20):
+    """The nearest vectors of each item's vector, by all lists of the stored collection."""
+    hits = V.search(_collection(spark, d), _item_vectors(spark, d), k, LISTS)
+    return hits.select(F.col("query").alias("item_id"), F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "sim")
+
+
+def vector_recall(spark, d, k=20, probes=10):
+    """How many of the nearest vectors of each item the probed lists have."""
+    c, q = _collection(spark, d), _item_vectors(spark, d)
+    near, exact = V.search(c, q, k, probes), V.search(c, q, k, LISTS)
+    hit = exact.join(near.select("query", "key", F.lit(1).alias("hit")), ["query", "key"], "left")
+    return hit.groupBy(F.col("query").alias("item_id")).agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("of"))
+
+
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch, sparse_dot_topk, cosine_topk, hybrid_rrf, channel_breakdown, df_table, corpus_stats, matched_terms, seeds_top2, collapse_best, dedupe_keep_max)}
 _SPARSE = "SELECT doc_id, round(sum(qtf * idf * w), 6) AS score FROM w GROUP BY doc_id"
 _BM = "SELECT doc_id, round(sum(idf * w), 6) AS score, count(*) AS matched FROM w GROUP BY doc_id"
@@ -189,3 +224,11 @@ k AS (SELECT source, doc_id, round(score * CASE lang WHEN 'en' THEN 1.3e0 WHEN '
   FROM k)
   WHERE rn = 1""",
 }
+QUERIES |= {"vector_topk": vector_topk, "vector_recall": vector_recall}
+ORACLES["vector_topk"] = """
+SELECT item_id, vec_id, rank, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, vec_id) AS rank FROM (
+    SELECT item_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim
+    FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e
+  )
+) WHERE rank <= 20"""
