@@ -33,12 +33,16 @@ def split_words(text: str) -> list[str]:
     return [w for w in SPACE.split(text) if w] if SEPARATORS.search(text) else text.split()
 
 
+#: Distinct words that a task knows at a time, unless told otherwise.
+WORDS = 1_000_000
+
+
 class TokenIds:
     """Token ids of whole texts. Each distinct word is worked out once, and what tokenizes alike is tokenized once:
     ASCII words in lower case (so the vocabulary's normalizer has it), without one sign at the end of letters (a token
     of its own)."""
 
-    def __init__(self, vocabulary: str, limit: int = 250_000):
+    def __init__(self, vocabulary: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -95,15 +99,15 @@ class TokenIds:
         return self.ids.a[index], segment_sums(n, words)
 
 
-def token_ids(vocabulary: str) -> TokenIds:
-    return held(("token ids", vocabulary), lambda: TokenIds(vocabulary))
+def token_ids(vocabulary: str, limit: int = WORDS) -> TokenIds:
+    return held(("token ids", vocabulary, limit), lambda: TokenIds(vocabulary, limit))
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: each whole text's ids and ``end_id``, cut where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(vocabulary)
+        encode = token_ids(vocabulary, words)
         for part in slices(batches, "text", 1 << 20):
             ids, counts = encode(part.column("text").to_pylist())
             rows, at = [], 0
@@ -205,10 +209,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_size: int = 4096)
         now = packed.where("again").select("id", "piece", "start", "length", "ids_crc32", F.expr(f"g div {FAN}").alias("g"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """All documents in as few sequences of ``capacity`` tokens as the method finds. Null and empty texts are one piece of
-    one token; only documents over ``capacity`` are cut; extra columns are ignored; no documents give no rows."""
-    return pack_pieces(settle(token_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col), "pieces"), capacity)
+    one token; only documents over ``capacity`` are cut; extra columns are ignored, repeated rows and null ids keep pieces each; no documents
+    give no rows. A task's tables of known words hold ``words`` of them, which bounds its memory and changes no result."""
+    return pack_pieces(settle(token_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col, words=words), "pieces"), capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
