@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, hash32, held, segment_sums, settle, slices, table, text_of
+from .shared import WORDS, Growing, WordTable, hash32, held, segment_sums, settle, slices, table, text_of
 
 WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 17, 1 << 14, 1 << 12
 
@@ -127,10 +127,10 @@ def train_on(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 6, epoch
 
 
 class Scorer:
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, words: int = WORDS):
         self.model = model
         self.sum, self.n, self.shape = Growing(np.float64), Growing(np.int64), Growing(np.int64)
-        self.words = WordTable(self._fill, self._empty)
+        self.words = WordTable(self._fill, self._empty, words)
 
     def _empty(self) -> None:
         for x in (self.sum, self.n, self.shape):
@@ -189,13 +189,14 @@ def fit(docs: DataFrame, labelled: DataFrame, max_train: int = 2400, max_feature
     return train_on([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4"), r["label"]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score", words: int = WORDS) -> DataFrame:
     """``docs`` (or with ``keep=False`` only its id) with the column ``name``: the chance of label 1, for whole texts. Null and empty
-    texts have the model's bias as their score. Repeated rows and null ids keep a row each; no rows give none."""
+    texts have the model's bias as their score. Repeated rows and null ids keep a row each; no rows give none. A task's table of
+    known words holds ``words`` of them, which bounds its memory and changes no result."""
     sent, model_key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("scorer", model_key), lambda: Scorer(sent.value))
+        scorer = held(("scorer", model_key), lambda: Scorer(sent.value, words))
         for part in slices(batches, text_col):
             values = scorer([x or "" for x in part.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values)], names=[*names, name])

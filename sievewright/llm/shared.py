@@ -117,6 +117,10 @@ def release() -> None:
     _tables.clear()
 
 
+#: Distinct words that a task's table holds, unless told otherwise.
+WORDS = 250_000
+
+
 class WordTable(dict):
     """Numbers the distinct words of a task's texts, so that what a word alone decides is computed once.
 
@@ -124,7 +128,7 @@ class WordTable(dict):
     holds more than ``limit`` words, which bounds its memory and changes no result.
     """
 
-    def __init__(self, fill, empty, limit: int = 100_000):
+    def __init__(self, fill, empty, limit: int = WORDS):
         super().__init__()
         self.fill, self.empty, self.limit, self.fresh = fill, empty, limit, []
 
