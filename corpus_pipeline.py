@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     of the rows that stay are those that came."""
     model = quality.quality_model(table(spark, sf_dir, "documents"), spark, sf_dir)
     mark = free_name(docs, "q_score")
-    return quality.score(docs, model, keep=True, name=mark).where(F.col(mark) >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, model, keep=True, name=mark, words=100_000).where(F.col(mark) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    """Where each piece of each document goes in the training sequences. Nulls are empty texts; repeated rows are packed each;
+    extra columns are ignored. Its tables of words are smaller than by themselves, as a worker may hold another stage's memory."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), words=250_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
