@@ -92,6 +92,19 @@ def test_texts_over_a_stretch(spark):
         assert bytes(r["kept"]).decode() == "".join(c for c, g in zip(t, gone, strict=True) if not g)
 
 
+def test_last_stretch_under_a_string(spark):
+    """Last stretches of 1 to 402 bytes, which may hold a cell's core but no whole string, and a repeat that ends there."""
+    data = np.random.default_rng(1).integers(97, 123, 2402).astype(np.uint8)
+    for tail in (1, 199, 200, 300, 399, 400, 402):
+        text = data[: 2000 + tail]
+        places = np.arange(len(text) - substring_dedup.HALF + 1)
+        assert (substring_dedup._at(text, 0, 1000, [places], [])[0] == substring_dedup._lanes(text, 0)[0]).all()
+    word = lambda n: "".join(map(chr, data[:n]))
+    texts = [word(2300), "X" + word(2300)[1300:], "Y" + word(2300)[1600:], "Z" + word(2300)[1850:] + "Z"]
+    rows = substring_dedup.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), stretch=1000).collect()
+    assert sorted((r["id"], r["n_removed"], r["n_spans"]) for r in rows) == [(0, 1000, 1), (1, 1000, 1), (2, 700, 1), (3, 450, 1)]
+
+
 def test_template_alone_decides(spark):
     """Boilerplate in plain elements without telling names, between and around the paragraphs, on pages of unlike trees."""
     rng = random.Random(11)
