@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.text import ascii_words
 from ..operators import chunks as C
 from ..operators import generations as G
 from ..operators import index as I
@@ -156,9 +157,9 @@ def open_file(spark, d):
     files = repository(spark, d)
     asked = e.select("event_id", F.col("event_id").alias("doc"), F.col("k").alias("line_start"), (F.col("k") + F.floor("value").cast("int")).alias("line_end"))
     known = asked.join(files.select(F.col("doc_id").alias("doc"), "path"), "doc", "left").withColumn("path", F.coalesce("path", F.concat(F.lit("gone/"), F.col("doc").cast("string"))))
-    said = C.snippets(files, known.select("path", "line_start", "line_end").distinct())
+    said = C.snippets(files, known.select("path", "line_start", "line_end").distinct(), "\n")
     asked_files = files.join(known.select("path").distinct(), "path", "left_semi")
-    touched = C.chunks(asked_files, DECLARATION, SYMBOL).select(F.col("path").alias("p2"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
+    touched = C.chunks(asked_files, ascii_words(DECLARATION), ascii_words(SYMBOL), end="\n").select(F.col("path").alias("p2"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
     j = said.join(touched, (F.col("path") == F.col("p2")) & (F.col("b") >= F.col("line_start")) & (F.col("a") <= F.col("line_end")) & (F.col("status") == "ok"), "left")
     first = F.slice(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b")))), 1, 4)
     out = j.groupBy("path", "line_start", "line_end", "status", F.length("snippet").cast("long").alias("chars")).agg(first.alias("c"))

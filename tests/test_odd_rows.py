@@ -33,3 +33,14 @@ def test_messages_beside_letters_beyond_ascii(spark, tmp_path):
     texts = ["Haus enöau Baum", "first\rline\nhaus ENÖAU baum here", "some other words", "la garde éwas ici", "x\x85y\nla garde éwas ici"]
     got = same(spark, tmp_path, "message_bridge", documents=documents(texts), benchmark={"item_id": [0, 1], "text": ["Haus enöau Baum", "la garde éwas ici"]})
     assert {r[:3] for r in got} == {(0, 1, 2), (1, 4, 2)}
+
+
+def test_open_files_without_lines(spark, tmp_path):
+    many = "\n".join(["The of", *["x"] * 50, "Foo thé", "y"])
+    texts = [None, "", "\n", "a\rb\x85c\nd", many, many, "one"]
+    asked = [(0, 2, 3.0), (1, 0, 4.5), (1, 9, 0.0), (2, 1, 0.0), (3, 2, 1.0), (4, 50, 9.0), (5, 1, 99.0), (6, 4, 0.0), (7, 1, 1.0), (0, 0, 0.0), (2, None, 1.0), (1, None, 1.0)]
+    ids = [k for k, *_ in asked]
+    props = ["{}" if k is None else f'{{"k": {k}}}' for _, k, _ in asked]
+    events = {"event_id": ids, "ts": [datetime.datetime(2024, 1, 1)] * len(ids), "value": [v for *_, v in asked], "props": props}
+    got = same(spark, tmp_path, "open_file", documents=documents(texts), events=events)
+    assert {r[3] for r in got} == {"ok", "missing", "rejected"} and any(r[3] == "ok" and r[4] is None for r in got)
