@@ -12,7 +12,7 @@ from ..operators import generations as G
 from ..operators import index as I
 from ..operators import search as S
 from ..sources.tables import REPOSITORY, load, repository
-from .search import ITEMS, PARTS
+from .search import ITEMS, PARTS, ranking
 from .shared import index_documents, index_folder, stored_index
 from .texts import DECLARATION
 
@@ -78,8 +78,7 @@ def _index_terms(index):
 
 
 def _index_search(spark, d, index, k):
-    hits = I.bm25(index, _terms(spark, d)).select("query", "key", F.round("score", 6).alias("score"))
-    hits = I.matched_terms(index, _terms(spark, d), S.top(hits, "query", k, F.desc("score"), F.col("key")))
+    hits = I.matched_terms(index, _terms(spark, d), ranking(spark, d, index, k))
     return hits.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score", F.array_join("terms", " ").alias("terms"))
 
 
